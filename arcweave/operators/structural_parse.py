@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.common import by_position, position
+from arcweave.functions.types import bool_column
 
 QUOTE, COMMA, CR, SPACE, ZERO = 34, 44, 13, 32, 48
 
@@ -37,7 +38,7 @@ class KeyCheck:
 
 @dataclass(frozen=True)
 class IntCheck:
-    """Field ``at`` without surrounding spaces must be an optionally signed decimal integer in ``bits`` bits."""
+    """Field ``at`` without surrounding spaces must be an optionally signed decimal integer in ``bits`` (64 at most) bits."""
 
     name: str
     at: int
@@ -131,15 +132,16 @@ class Index:
         at = np.searchsorted(nonzero, lo)
         significant = np.where(at < len(nonzero), nonzero[np.minimum(at, max(len(nonzero) - 1, 0))] if len(nonzero) else hi, hi)
         lo = np.where(ok, np.minimum(significant, hi), lo)
-        most = len(str(1 << (c.bits - 1)))
+        half = 1 << (c.bits - 1)
+        most = len(str(half))
         ok &= hi - lo <= most
-        value = np.zeros(len(lo), dtype=np.int64)
+        size = np.zeros(len(lo), dtype=np.uint64)  # 19 digits fit
         for k in range(most):
             more = ok & (lo + k < hi)
-            value[more] = value[more] * 10 + (data[lo[more] + k] - ZERO)
-        value = np.where(negative, -value, value)
-        ok &= (value >= -(1 << (c.bits - 1))) & (value < 1 << (c.bits - 1))
-        return ok, np.where(ok, value, 0)
+            size[more] = size[more] * np.uint64(10) + (data[lo[more] + k] - ZERO)
+        ok &= size <= np.where(negative, np.uint64(half), np.uint64(half - 1))
+        value = size.astype(np.int64)  # of -2^63 the bits are right already, and negation keeps them
+        return ok, np.where(ok, np.where(negative, -value, value), 0)
 
     def texts(self, field: int, which: np.ndarray) -> pa.Array:
         """The field's text in the sound records ``which``; an empty field without quotes is null."""
@@ -204,8 +206,8 @@ def rejects(split: DataFrame, keys: Sequence[str]) -> DataFrame:
     return split.filter(F.col("reason").isNotNull()).select(*keys, "reason", "line")
 
 
-#: A relation record: from, to, ts and three attributes that may hold anything.
 def relation_spec(from_type: str, to_type: str) -> RecordSpec:
+    """A relation record: from, to, ts and three attributes that may hold anything."""
     return RecordSpec(6, (KeyCheck("from_key", 0, from_type), KeyCheck("to_key", 1, to_type), IntCheck("ts", 2)))
 
 
@@ -215,8 +217,6 @@ def relation_rows(split: DataFrame, keys: Sequence[str]) -> DataFrame:
     attr2 is null where it isn't a number; attr3 follows the boolean rule of the node and relation files (null stays
     null); attr4 is the text as it is.
     """
-    from arcweave.functions.types import bool_column
-
     good = split.filter(F.col("reason").isNull())
     return good.select(
         *keys,

@@ -1,0 +1,68 @@
+import pytest
+
+from arcweave.operators.archive import Archive, adjacency_records, consolidated, pack, surplus_copies, write_consolidated
+
+SCHEMA = "file_id long, file_name string, hid int, body string"
+BODIES = [
+    (1, "a", 0, "1,10,20,5\n2,10,21,6\r\n3,11,22,7"),
+    (2, "b", 0, ""),
+    (3, "c", 1, None),
+    (4, "d", 1, " 02 , 10,021, 6 \n2,10,21,6\nbroken\n4,1,2\n5,1,2,3,4\n6,1,2,x\n"),
+    (5, "d", 1, "7,1,2,-1\r8,1,2,3\n\n9,1,2,99999999999"),
+    (6, None, None, "é,ü\n3,11,22,7"),
+    (6, None, None, "é,ü\n3,11,22,7"),
+    (7, "long", 2, "10,1,1,1\n" + "x" * 300_000),
+]
+
+
+def files(df):
+    return sorted(((r.file_id, r.path, None if r.body is None else bytes(r.body)) for r in df.collect()), key=str)
+
+
+def original():
+    return sorted(((i, n, None if b is None else b.encode()) for i, n, _, b in BODIES), key=str)
+
+
+@pytest.mark.parametrize("block_bytes", [1, 64, 1 << 20])
+def test_round_trip(spark, tmp_path, block_bytes):
+    df = spark.createDataFrame(BODIES, SCHEMA)
+    made = Archive.write(pack(df, "file_id", "file_name", "body", block_bytes), f"{tmp_path}/arch")
+    assert files(made.files()) == original()
+    assert files(Archive(spark, f"{tmp_path}/arch").lookup("d")) == [x for x in original() if x[1] == "d"]
+    assert made.lookup("none").count() == 0
+    assert made.index().count() == len(BODIES)
+    assert all(r.n_bytes <= block_bytes or r.n_files == 1 or r.data.count(b"x") > 1000 for r in made.blocks().collect() if block_bytes == 64)
+
+
+def test_damage_is_found(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    packed = pack(spark.createDataFrame(BODIES[:1], SCHEMA), "file_id", "file_name", "body")
+    bad = packed.withColumn("data", F.unhex(F.regexp_replace(F.hex("data"), "31", "32")))
+    made = Archive.write(bad.select(*packed.columns), f"{tmp_path}/arch")
+    with pytest.raises(Exception, match="damaged"):
+        made.files().collect()
+    with pytest.raises(Exception, match="checksum"):
+        made.lookup("a").collect()
+
+
+def test_records(spark, rows, tmp_path):
+    got = adjacency_records(pack_and_read(spark, BODIES))
+    assert rows(surplus_copies(got)) == [(4, 2), (6, 3)]
+    want = [(1, 10, 20, 5), (10, 1, 1, 1), (2, 10, 21, 6), (3, 11, 22, 7), (7, 1, 2, -1), (8, 1, 2, 3)]
+    assert rows(consolidated(got)) == want
+    written = write_consolidated(got, f"{tmp_path}/out", file_bytes=60)
+    assert rows(written) == want
+    assert 1 < len(list((tmp_path / "out").glob("*.parquet"))) <= 5
+
+
+def pack_and_read(spark, bodies):
+    return Archive.write(pack(spark.createDataFrame(bodies, SCHEMA), "file_id", "file_name", "body")).files()
+
+
+def test_empty_table_and_clashing_names(spark, rows):
+    assert pack_and_read(spark, []).count() == 0
+    assert surplus_copies(adjacency_records(pack_and_read(spark, []))).count() == 0
+    df = spark.createDataFrame([(1, "a", "1,1,1,1", 7, "z")], "file_id long, path string, data string, block_id long, body string")
+    made = Archive.write(pack(df, "file_id", "path", "data"))
+    assert files(made.files()) == [(1, "a", b"1,1,1,1")]

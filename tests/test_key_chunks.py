@@ -1,0 +1,60 @@
+from collections import defaultdict
+
+import pytest
+
+from arcweave.operators.key_chunks import chunk_states, per_key
+
+SCHEMA = "load int, key string, ts int, edge long"
+
+
+def plain(data):
+    by = defaultdict(list)
+    for load, key, ts, _ in data:
+        by[load, key].append(ts)
+    out = []
+    for k, all_ts in by.items():
+        ts = sorted(t for t in all_ts if t is not None)
+        steps = [b - a for a, b in zip(ts, ts[1:])]
+        out.append((*k, len(all_ts), ts[0] if ts else None, ts[-1] if ts else None, max(steps) if steps else None))
+    return sorted(out, key=str)
+
+
+def data(n=2000):
+    rows = [(i % 3, "hot" if i % 3 else f"k{i % 50}", (i * 7919) % 100_003, i) for i in range(n)]
+    rows += [(0, "null-ts", None, 1), (0, "null-ts", None, 2), (0, "mixed", None, 3), (0, "mixed", 5, 4), (None, None, 9, 5), (0, None, 1, 6), (0, "", 4, 7)]
+    return rows + rows[:100] + [(1, "same", 8, 1)] * 300
+
+
+@pytest.mark.parametrize("chunk_rows,partitions", [(1, 4), (7, 5), (100, 4), (10**6, 1)])
+def test_per_key(spark, rows, chunk_rows, partitions):
+    df = spark.createDataFrame(data(), SCHEMA).repartition(3)
+    got = per_key(df, ["load", "key"], "ts", ["edge"], chunk_rows, partitions)
+    assert rows(got.drop("n_chunks")) == plain(data())
+
+
+def test_chunks_have_equal_size(spark):
+    df = spark.createDataFrame(data(), SCHEMA).repartition(3)
+    sizes = chunk_states(df, ["load", "key"], "ts", ["edge"], 50, 6).groupBy("k0", "k1", "chunk").sum("n").collect()
+    by = defaultdict(dict)
+    for k0, k1, chunk, n in sizes:
+        by[k0, k1][chunk] = n
+    for chunks in by.values():
+        assert sorted(chunks) == list(range(len(chunks)))
+        assert all(chunks[c] == 50 for c in list(sorted(chunks))[:-1]) and max(chunks.values()) <= 50
+
+
+def test_hot_key_is_spread(spark):
+    df = spark.createDataFrame([(0, "one", 1, 1)] * 4000, SCHEMA)
+    parts = chunk_states(df, ["load", "key"], "ts", ["edge"], 1000, 4).groupBy("pid").sum("n").collect()
+    assert len(parts) == 4 and max(r[1] for r in parts) < 2000
+
+
+def test_empty_and_clashing(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    assert per_key(df, ["load", "key"], "ts").count() == 0
+    df = spark.createDataFrame([(1, 2, 3, 4, 5)], "k0 int, o int, pid int, ln int, chunk int")
+    assert [tuple(r) for r in per_key(df, ["k0"], "o", ["ln"]).collect()] == [(1, 1, 2, 2, None, 1)]
+    with pytest.raises(ValueError):
+        per_key(df.withColumnRenamed("k0", "n_rows"), ["n_rows"], "o")
+    with pytest.raises(ValueError):
+        chunk_states(df, ["k0"], "o", chunk_rows=0)
