@@ -158,8 +158,8 @@ def canonical_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, t string").toDF(key, text)
 
 
-def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, look, form) of every row: 128-bit hashes of the canonical and of the stored text, null for a null text.
+def look_hashes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, look, form) of every row: its key and 128-bit hashes of the canonical and the stored text, null for a null text.
 
     Texts look the same exactly if ``look`` is equal (up to hash collisions of probability about n^2 / 2^129); no text
     is shuffled, only the hashes are.
@@ -180,7 +180,7 @@ def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(looks, pa.binary()), pa.array(forms, pa.binary())], names=["k", "look", "form"])
 
     src = pick(df, k=key, t=text)
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, look binary, form binary").toDF(key, "look", "form")
+    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, look binary, form binary")
 
 
 def class_members(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -188,7 +188,7 @@ def class_members(df: DataFrame, key: str, text: str) -> DataFrame:
 
     class_id is the smallest key of the texts that look the same; rows and stored forms of the class are counted.
     """
-    looks = materialize(look_classes(df, key, text).filter(F.col("look").isNotNull()).toDF("k", "look", "form"), "looks")
+    looks = materialize(look_hashes(df, key, text).filter(F.col("look").isNotNull()), "looks")
     per_form = looks.groupBy("look", "form").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"))
     classes = per_form.groupBy("look").agg(F.min("k").alias("class_id"), F.sum("n").alias("class_rows"), F.count(F.lit(1)).alias("class_forms"))
     return looks.join(classes, "look").select("k", "class_id", "class_rows", "class_forms").toDF(key, "class_id", "class_rows", "class_forms")
@@ -202,7 +202,7 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Defined cases: null texts are in no pair; empty texts are equal as stored; equal keys are in no pair.
     """
-    looks = materialize(look_classes(df, key, text).filter(F.col("look").isNotNull()).toDF("k", "look", "form"), "looks")
+    looks = materialize(look_hashes(df, key, text).filter(F.col("look").isNotNull()), "looks")
     several = looks.groupBy("look").agg(F.min("form").alias("low"), F.max("form").alias("high")).filter("low <> high").select("look")
     members = looks.join(several, "look", "left_semi").distinct()
     a = members.select("look", F.col("k").alias("a"), F.col("form").alias("form_a"))

@@ -64,9 +64,11 @@ def _bounded_heaps(k: int):
         for b in _run_lengths(batches):
             schema = b.schema
             slots, counts = b.column(0).to_numpy(), b.column(2).to_numpy()
+            real = b.column(1).is_valid().to_numpy(zero_copy_only=False)
             for s in np.unique(slots).tolist():
                 own = np.flatnonzero(slots == s)
                 totals[s] = totals.get(s, 0) + int(counts[own].sum())
+                own = own[real[own]]
                 heap = heaps.setdefault(s, [])
                 if len(heap) == k:
                     own = own[counts[own] >= heap[0][0]]
@@ -74,8 +76,6 @@ def _bounded_heaps(k: int):
                     own = own[np.argsort(-counts[own], kind="stable")[:k]]
                 picked = zip(counts[own].tolist(), b.column(1).take(pa.array(own)).to_pylist())
                 for count, value in picked:
-                    if value is None:
-                        continue
                     item = (count, _Reverse(value))
                     (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, item)
         if schema is None:
