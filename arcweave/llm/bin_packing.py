@@ -12,6 +12,7 @@ where the rests of many shards are packed together by the same algorithm.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Characters of a text from which its tokens are counted part by part.
+LONG_TEXT = 1 << 20
+_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+
+
 @dataclass(frozen=True)
 class Evolution:
     """Settings of the search. ``shard_items`` bounds the memory of a task and the size of a chromosome."""
@@ -163,7 +169,11 @@ def evolve(sizes: np.ndarray, capacity: int, start: list[Packing], rng: np.rando
 
 
 class TokenCounter:
-    """Counts the tokens of a text; loads the vocabulary once per Python worker."""
+    """Counts the tokens of a text; loads the vocabulary once per Python worker.
+
+    Very long texts are counted in parts, cut before a space between two letters: the tokenizer always parts there, so
+    the count is that of the whole text.
+    """
 
     _made: dict = {}
 
@@ -180,7 +190,11 @@ class TokenCounter:
             with open(self.path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             enc = self._made[self.path] = tiktoken.Encoding("arcweave", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-        return len(enc.encode_ordinary(text))
+        n, done = 0, 0
+        while len(text) - done > LONG_TEXT and (cut := _CUT.search(text, done + LONG_TEXT)):
+            n += len(enc.encode_ordinary(text[done : cut.start()]))
+            done = cut.start()
+        return n + len(enc.encode_ordinary(text[done:] if done else text))
 
 
 def _shards(capacity: int, how: Evolution, counter: TokenCounter | None):

@@ -24,7 +24,7 @@ from arcweave.llm.canonical import Canonical
 #: Test seeds and test bytes up to which the test side is sent to all tasks; beyond, the hashes are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
 BROADCAST_BYTES = 32 << 20
-#: Characters that are hashed at once; a longer text is hashed alone, in whole.
+#: Characters that are hashed at once; longer texts are hashed in slices cut between words.
 GROUP_CHARS = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
@@ -50,16 +50,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Hasher:
-    """Hashes of all words of many texts at once: the texts' code points as one array, with prefix sums."""
+    """Hashes of all words of many texts at once: the texts' code points as one array, with prefix sums.
+
+    Works in slices of about GROUP_CHARS, cut between words, so that a very long text takes no more memory than its
+    word hashes.
+    """
 
     def __init__(self):
         self.is_word = np.array([chr(c).isalnum() for c in range(0x10000)])
         self.code = _mix(np.arange(1, 0x10001, dtype=np.uint64) * _B)
+        self.inverse = np.uint64(pow(int(_B), -1, 1 << 64))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each word, number of the text it is in)."""
         joined = "\n".join(texts)
-        cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        hashes, begins, done = [], [], 0
+        while done < len(joined) or not done:
+            upto = min(len(joined), done + GROUP_CHARS)
+            while upto < len(joined) and joined[upto].isalnum():
+                upto += 1
+            h, begin = self._slice(joined[done:upto])
+            hashes.append(h), begins.append(begin + done)
+            if upto == len(joined):
+                break
+            done = upto
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return np.concatenate(hashes), np.searchsorted(starts, np.concatenate(begins), side="right") - 1
+
+    def _slice(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, first character) of each word: sums of mixed codes times powers, shifted back to the word's start."""
+        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         high = cps > 0xFFFF
         small = np.where(high, 0, cps)
         word, code = self.is_word[small], self.code[small]
@@ -70,19 +90,15 @@ class _Hasher:
         edge = np.diff(word.astype(np.int8), prepend=0, append=0)
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         n = len(cps)
-        power = np.empty(n + 1, dtype=np.uint64)
-        power[0] = 1
-        power[1:] = _B
-        np.multiply.accumulate(power, out=power)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(code * power[:n], out=sums[1:])
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        back = np.full(n + 1, inverse, dtype=np.uint64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        hashes = _mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        return hashes, np.searchsorted(starts, begin, side="right") - 1
+        np.cumsum(code * _powers(_B, n), out=sums[1:])
+        return _mix((sums[end] - sums[begin]) * _powers(self.inverse, n + 1)[begin] + (end - begin).astype(np.uint64)), begin
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 def _seeds(words: np.ndarray, mask: list[int], span: int) -> np.ndarray:

@@ -63,6 +63,15 @@ def test_least_number_of_bins_ends_early():
     assert len(evolve(sizes, 100, [], np.random.default_rng(0), Evolution())[0].loads) == 20
 
 
+def test_long_texts_are_counted_whole(monkeypatch):
+    rng = random.Random(4)
+    parts = ["word", " ", "  ", "it's", "\n", " été", " 12", "²", "...", " a", " b", "\t", "x" * 30]
+    texts = ["".join(rng.choice(parts) for _ in range(400)) for _ in range(40)]
+    whole_counts = [COUNT(t) for t in texts]
+    monkeypatch.setattr("arcweave.llm.bin_packing.LONG_TEXT", 50)
+    assert [COUNT(t) for t in texts] == whole_counts
+
+
 def run(spark, texts, capacity, how=SMALL, schema="doc_id long, text string"):
     df = spark.createDataFrame(texts, schema).repartition(3)
     return [tuple(r) for r in pack_texts(df, "doc_id", "text", capacity, how=how).collect()]

@@ -94,6 +94,14 @@ def test_hashes_follow_words():
     assert of.tolist() == [i for i, t in enumerate(texts) for _ in __import__("re").findall(r"[^\W_]+", t)]
 
 
+def test_slices_do_not_change_hashes(monkeypatch):
+    texts = ["ab cd" * 9, "", "x" * 40, "é日本 z\U00010400y " * 7]
+    want = [x.tolist() for x in _Hasher()(texts)]
+    for n in (1, 2, 7, 33):
+        monkeypatch.setattr("arcweave.llm.leaks.GROUP_CHARS", n)
+        assert [x.tolist() for x in _Hasher()(texts)] == want
+
+
 def test_windows_stay_inside_texts():
     w = _Windows(3, FORM)
     found = [(m, int(t), int(p)) for m, _, of, at in w(["a b", "c d e f", "g h i"]) for t, p in zip(of, at)]
