@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.common import pick, scratch_path
+from arcweave.common import materialize, pick, scratch_path
 
 #: Bytes of a block; a file is never split over blocks, one larger than this gets a block of its own.
 BLOCK_BYTES = 32 << 20
@@ -145,9 +145,10 @@ def surplus_copies(records: DataFrame) -> DataFrame:
     """(file_id, pos) of all copies but the one in the smallest file, distinct.
 
     Copies inside one file are combined before the shuffle; a pos in very many files is reduced to its smallest file
-    by partial aggregation, and the join back streams over it.
+    by partial aggregation, and the join back streams over it. The distinct (file_id, pos) are written once, so that
+    the bodies are not parsed again for the join.
     """
-    held = records.select("file_id", "pos").distinct()
+    held = materialize(records.select("file_id", "pos").distinct(), "held")
     keep = held.groupBy("pos").agg(F.min("file_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("pos", "kept")
     return held.join(keep, "pos").filter(F.col("file_id") > F.col("kept")).select("file_id", "pos")
 
