@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.common import by_position, position
@@ -201,6 +201,54 @@ def split_records(df: DataFrame, line: str, keys: Sequence[str], spec: RecordSpe
     return src.mapInArrow(_splitter(spec, len(keys)), schema).toDF(*keys, *out)
 
 
+#: Bytes of a file that are indexed at once.
+FILE_BLOCK = 8 << 20
+
+
+def record_ends(data: np.ndarray, quotes_before: int = 0) -> np.ndarray:
+    """Positions of the line feeds that end a record: those before which the number of quotes is even."""
+    feeds = np.flatnonzero(data == 10)
+    quotes = np.concatenate([[0], np.cumsum(data == QUOTE)])
+    return feeds[(quotes[feeds] + quotes_before) % 2 == 0]
+
+
+def _records_of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            data = np.frombuffer(content.as_buffer(), dtype=np.uint8)
+            number, begin, at, quotes = 0, 0, 0, 0
+            while at < len(data):
+                block = data[at : at + FILE_BLOCK]
+                ends = record_ends(block, quotes) + at
+                quotes += int((block == QUOTE).sum())
+                at += len(block)
+                if at == len(data) and data[-1] != 10 or at == len(data) and not (len(ends) and ends[-1] == at - 1):
+                    ends = np.append(ends, at)
+                if not len(ends):
+                    continue
+                offs = np.concatenate([[begin], ends + 1])
+                raw = data[begin : min(offs[-1], at)]
+                bounds = np.minimum(offs - begin, len(raw))
+                # a record does not hold the line feed that ends it
+                source = np.ones(len(raw), dtype=bool)
+                source[ends[ends < at] - begin] = False
+                sizes = np.diff(bounds) - (ends < at)
+                text = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes()), pa.py_buffer(raw[source].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(sizes)), pa.array(np.arange(number, number + len(sizes))), text.cast(pa.string())], names=["file_name", "record_no", "line"])
+                number, begin = number + len(sizes), int(offs[-1])
+
+
+def read_records(spark: SparkSession, paths: str | list[str], header: bool = True) -> DataFrame:
+    """Records of delimited files whose fields may hold line breaks: (file_name, record_no, line), for split_records.
+
+    Record ends are the line feeds outside quotes, by quote parity. A file is read by one task (2 GB at most); a quote
+    that is never closed therefore takes the rest of its file into one record, which split_records then rejects.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    records = files.select("path", "content").mapInArrow(_records_of_files, "file_name string, record_no long, line string")
+    return records.filter("record_no > 0") if header else records
+
+
 def rejects(split: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The records that can't be used: ``keys``, reason, line."""
     return split.filter(F.col("reason").isNotNull()).select(*keys, "reason", "line")

@@ -29,7 +29,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_relation_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return relation_rows(_records(spark, sf), ["line_id"]).drop("attr2")
+    return relation_rows(_records(spark, sf), ["line_id"])
 
 
 def _key_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +105,7 @@ def oracle_sql() -> dict[str, str]:
     ts = "trim(ts0, ' ')"
     parsed = (
         f"SELECT line_id, well, f, CASE WHEN NOT well THEN 'quoting' WHEN len(f) <> 6 THEN 'columns' WHEN NOT regexp_full_match(k1, '[A-Za-z0-9]{{8}}acct') THEN 'from_key'"
-        f" WHEN NOT regexp_full_match(k2, '[A-Za-z0-9]{{8}}item') THEN 'to_key' WHEN NOT regexp_full_match({ts}, '[+-]?[0-9]+') OR try_cast({ts} AS INTEGER) IS NULL THEN 'ts' END AS reason, k1, k2, {ts} AS ts, {value(5)} AS a3, f[5] AS r3, {value(6)} AS a4, f[6] AS r4"
+        f" WHEN NOT regexp_full_match(k2, '[A-Za-z0-9]{{8}}item') THEN 'to_key' WHEN NOT regexp_full_match({ts}, '[+-]?[0-9]+') OR try_cast({ts} AS INTEGER) IS NULL THEN 'ts' END AS reason, k1, k2, {ts} AS ts, {value(4)} AS a2, {value(5)} AS a3, f[5] AS r3, {value(6)} AS a4, f[6] AS r4"
         f" FROM (SELECT *, {value(1)} AS k1, {value(2)} AS k2, {value(3)} AS ts0 FROM (SELECT line_id, regexp_full_match({bare}, {shape}) AS well, {fields} AS f FROM raw_relation))"
     )
     refs = " UNION ALL ".join(f"SELECT '{rel}' AS rel, edge_id, '{side}' AS side, '{node}' AS node_table, {side}_key AS node_key, loaded_at AS seen_at FROM {rel} WHERE {side}_key IS NOT NULL" for rel, ends in RELATIONS.items() for side, node in zip(("from", "to"), ends))
@@ -125,7 +125,7 @@ def oracle_sql() -> dict[str, str]:
     whole = "pos IS NOT NULL AND arr_index IS NOT NULL AND arr_value IS NOT NULL AND ts IS NOT NULL"
     return {
         "p2_found": f"SELECT line_id, reason FROM ({parsed}) WHERE reason IS NOT NULL",
-        "p2_relation_rows": f"SELECT line_id, k1 AS from_key, k2 AS to_key, ts::INTEGER AS ts, CASE WHEN r3 = '' THEN NULL ELSE lower(a3) IN ('yes', 'true', 't', '1') END AS attr3, CASE WHEN r4 = '' THEN NULL ELSE a4 END AS attr4 FROM ({parsed}) WHERE reason IS NULL",
+        "p2_relation_rows": f"SELECT line_id, k1 AS from_key, k2 AS to_key, ts::INTEGER AS ts, try_cast(a2 AS DOUBLE) AS attr2, CASE WHEN r3 = '' THEN NULL ELSE lower(a3) IN ('yes', 'true', 't', '1') END AS attr3, CASE WHEN r4 = '' THEN NULL ELSE a4 END AS attr4 FROM ({parsed}) WHERE reason IS NULL",
         "p4_found": "WITH r AS (SELECT load_no, from_key, count(*) AS n FROM relation_acct_item WHERE from_key IS NOT NULL GROUP BY ALL)"
         " SELECT DISTINCT load_no, from_key FROM r FULL JOIN idx_arr USING (load_no, from_key) WHERE coalesce(n, 0) <> coalesce(length, 0)",
         "p4_key_runs": "SELECT load_no, from_key, count(*) AS n_rows, min(ts) AS first_value, max(ts) AS last_value, max(step) AS largest_step"

@@ -128,6 +128,43 @@ def test_empty_table_and_clashing_names(spark):
         split_records(df, "line", ["reason"], SPEC)
 
 
+def test_files(spark, tmp_path, monkeypatch):
+    from arcweave.operators import structural_parse
+
+    texts = {
+        "a": f'h1,h2\r\n{A},{B},1,2,true,"x\ny, ""z"""\r\n{A},{B},2,,,\n\n{A},{B},3,,,"two\n\nfeeds"',
+        "b": f"h\n{A},{B},4,,,é\n",
+        "c": "",
+        "d": f'h\n{A},{B},5,,,"open\n{A},{B},6,,,\n',
+        "e": "h",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    want = {
+        "a": [f'{A},{B},1,2,true,"x\ny, ""z"""\r', f"{A},{B},2,,,", "", f'{A},{B},3,,,"two\n\nfeeds"'],
+        "b": [f"{A},{B},4,,,é"],
+        "d": [f'{A},{B},5,,,"open\n{A},{B},6,,,\n'],
+    }
+    got = {}
+    df = structural_parse.read_records(spark, str(tmp_path / "*.csv"))
+    for r in df.orderBy("file_name", "record_no").collect():
+        got.setdefault(r.file_name[-5], []).append(r.line)
+    assert got == want
+    import pyarrow as pa
+
+    for block in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(structural_parse, "FILE_BLOCK", block)
+        batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array([t.encode() for t in texts.values()])], names=["p", "c"])
+        again = {}
+        for b in structural_parse._records_of_files(iter([batch])):
+            for f, n, line in zip(*(c.to_pylist() for c in b.columns)):
+                again.setdefault(f, []).append((n, line))
+        assert {f: [x for n, x in rs if n > 0] for f, rs in again.items() if len(rs) > 1} == want
+        assert all([n for n, _ in rs] == list(range(len(rs))) for rs in again.values())
+    reasons = {(r.file_name[-5], r.record_no): r.reason for r in split_records(df, "line", ["file_name", "record_no"], SPEC).collect()}
+    assert reasons == {("a", 1): None, ("a", 2): None, ("a", 3): "columns", ("a", 4): None, ("b", 1): None, ("d", 1): "quoting"}
+
+
 def test_other_specs(spark):
     spec = RecordSpec(2, (KeyCheck("k", 0, "z", 1), IntCheck("n", 1, 64)))
     df = spark.createDataFrame([(0, "az,9223372036854775807"), (1, "az,9223372036854775808"), (2, "aaz,1"), (3, "az"), (4, "az,-9223372036854775808"), (5, "az,-9223372036854775809"), (6, "az,9999999999999999999")], "i int, t string")
