@@ -2,29 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.common import by_position, position
+from arcweave.common import by_position, position, shuffle_width
 
 MATCHES = ("simple", "partial", "full")
 
 
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (begin, end, key...) sorted by (key..., begin): joins the spans of a key that touch or overlap."""
+    key, begin, end = None, 0, 0
+    for b in batches:
+        out: list[tuple] = []
+        times = [c.cast(pa.int64()) for c in b.columns[:2]]  # microseconds
+        for first, last, *own in zip(*(c.to_pylist() for c in [*times, *b.columns[2:]])):
+            if own == key and first <= end:
+                end = max(end, last)
+                continue
+            if key is not None:
+                out.append((begin, end, *key))
+            key, begin, end = own, first, last
+        if out:
+            yield _spans_batch(b.schema, out)
+        schema = b.schema
+    if key is not None:
+        yield _spans_batch(schema, [(begin, end, *key)])
+
+
+def _spans_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    begin, end, *keys = zip(*rows)
+    times = [pa.array(x, pa.int64()).cast(f.type) for x, f in zip((begin, end), schema)]
+    return pa.RecordBatch.from_arrays([*times, *(pa.array(x, f.type) for x, f in zip(keys, list(schema)[2:]))], schema=schema)
+
+
 def _spans(parents: DataFrame, k: list[str]) -> DataFrame:
-    """The times at which a key is there, as disjoint spans (begin, end); end null: until now.
+    """The times at which a key is there, as spans (begin, end); end null: until now.
 
-    Equal begins are combined before the shuffle; the spans of a key are then joined up in one sorted pass. Rows
-    without a begin never become visible and are left out.
+    Equal begins are combined before the shuffle. Then range partitions of (key, begin) are walked once in order, with
+    one open span each: a key with any number of rows is spread over many tasks. Spans of a key can overlap only where
+    partitions meet, which an anti-join doesn't mind. Rows without a begin never become visible and are left out.
     """
     far = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
     starts = parents.filter(F.col("begin").isNotNull()).groupBy(*k, "begin").agg(F.max(F.coalesce("end", far)).alias("end")).filter("end > begin")
-    before = Window.partitionBy(*k).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*k).orderBy("begin").rowsBetween(Window.unboundedPreceding, 0)
-    apart = starts.withColumn("reached", F.max("end").over(before)).withColumn("span", F.sum(F.when(F.col("begin") <= F.col("reached"), 0).otherwise(1)).over(upto))
-    return apart.groupBy(*k, "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("span")
+    laid = starts.repartitionByRange(shuffle_width(parents.sparkSession), *k, "begin").sortWithinPartitions(*k, "begin")
+    schema = ", ".join(["begin timestamp_ntz", "end timestamp_ntz", *(f"{n} {parents.schema[n].dataType.simpleString()}" for n in k)])
+    return laid.select("begin", "end", *k).mapInArrow(_join_up, schema)
 
 
 def orphan_references(
@@ -49,9 +76,10 @@ def orphan_references(
     * ``partial``: the non-null columns must occur together in a parent row; all null is not checked;
     * ``full``: all null is not checked; null in some columns only is an orphan, state ``missing``.
 
-    Scale: parents are reduced to the disjoint spans of each key first, so that a key repeated millions of times does
-    not multiply; the anti-join streams over the references, whose hot keys adaptive execution splits; no side is
-    broadcast by force.
+    Scale: parents are reduced to the spans of each key first, so that a key repeated millions of times does not
+    multiply; the anti-join streams over the references, whose hot keys adaptive execution splits; no side is broadcast
+    by force. What remains is a key that is hot among the references and also came and went very often: each of its
+    references is compared with its spans until one holds.
 
     Defined cases: a null ``ref_time`` can't be compared, so the reference is an orphan, ``deleted`` unless missing;
     parents with a null begin never become visible; null keys of parents match nothing; repeated references come out

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from arcweave.operators.orphans import orphan_references
+from arcweave.operators.orphans import _spans, orphan_references
 
 DAY = [datetime(2024, 1, 1) + timedelta(days=i) for i in range(10)]
 REF = "id long, a string, b string, at timestamp_ntz"
@@ -55,6 +55,16 @@ def test_spans_that_touch_and_overlap(spark, rows):
     assert rows(run(spark, refs, parents, "simple")) == [(0, "late"), (4, "deleted"), (5, "deleted")]
 
 
+def test_hot_parent_is_spread(spark, rows):
+    """One key with most parent rows; its spans come from all partitions, and still every reference is right."""
+    parents = [("hot", "k", DAY[0] + timedelta(minutes=10 * i), DAY[0] + timedelta(minutes=10 * i + (15 if i % 3 else 5))) for i in range(300)]
+    refs = [(i, "hot", "k", DAY[0] + timedelta(minutes=i)) for i in range(0, 3100, 7)]
+    assert rows(run(spark, refs, parents, "simple")) == plain(refs, parents, "simple")
+    p = spark.createDataFrame(parents, PARENT).withColumnsRenamed({"born": "begin", "gone": "end"})
+    spans = _spans(p, ["a", "b"]).collect()
+    assert 100 <= len(spans) <= 100 + 4
+
+
 def test_empty_tables(spark, rows):
     assert rows(run(spark, [], [], "simple")) == []
     assert rows(run(spark, [(1, "x", "y", DAY[0])], [], "simple")) == [(1, "missing")]
