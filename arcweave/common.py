@@ -50,12 +50,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, deleted when the application ends."""
-    path = f"{checkpoint_dir(spark)}/arcweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    """A new path below the shared folder; the application's part of the folder is deleted when it ends."""
+    base = f"{checkpoint_dir(spark)}/arcweave/{spark.sparkContext.applicationId}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)  # only what is there can be marked for deletion
+    files.deleteOnExit(at)
+    return f"{base}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

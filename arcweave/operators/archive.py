@@ -163,10 +163,10 @@ def write_consolidated(records: DataFrame, path: str, file_bytes: int = 256 << 2
     """Writes each record once into files of about ``file_bytes``, sorted by arr_index, and reads them back.
 
     Range partitioning on (arr_index, ts, pos) gives files of equal size even where one node has a third of the rows.
+    ``row_bytes`` is what a record takes when compressed.
     """
-    once = consolidated(records)
-    n = records.count()  # an upper bound of the rows, which is enough for the number of files
-    files = max(1, -(-n * row_bytes // file_bytes))
+    once = materialize(consolidated(records), "once")
+    files = max(1, -(-once.count() * row_bytes // file_bytes))
     by = ["arr_index", "ts", "pos"]
     once.repartitionByRange(files, *by).sortWithinPartitions(*by).write.option("compression", "zstd").parquet(path)
     return records.sparkSession.read.schema(once.schema).parquet(path)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.operators.archive import adjacency_records, consolidated, packed_archive, surplus_copies
+from arcweave.common import scratch_path
+from arcweave.operators.archive import adjacency_records, packed_archive, surplus_copies, write_consolidated
 from arcweave.operators.key_chunks import per_key
 from arcweave.operators.orphans import orphan_references
 from arcweave.operators.structural_parse import rejects, relation_rows, relation_spec, split_records
@@ -81,7 +82,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_consolidated(spark: SparkSession, sf: str) -> DataFrame:
-    return consolidated(_archived_records(spark, sf))
+    """The records as they stand in the few large files that take the place of the small ones."""
+    return write_consolidated(_archived_records(spark, sf), scratch_path(spark, "consolidated"))
 
 
 def p6_archive_files(spark: SparkSession, sf: str) -> DataFrame:

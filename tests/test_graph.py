@@ -217,6 +217,8 @@ def test_store_and_generator(spark, tmp_path, rows):
     assert ({r.node_id for r in nodes.collect()}, {tuple(r) for r in found.collect()}) == want
     got = store.lookup_by_bucket(spark.createDataFrame([(ident,), (5,)], "src_id long"), again._stored, "src_id")
     assert rows(got.select("src_id", "dst_id", "ts")) == rows(again.fetch_node_neighbor_edges(ident))
+    plan = again.fetch_node_neighbor_edges(ident)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters")[1].split("]")[0] and f"EqualTo(src_id,{ident})" in plan
     again.create_views("g_")
     assert spark.sql("SELECT count(*) FROM g_adjacency").first()[0] == 1200
     assert rows(again.degree()) == rows(g.degree())
