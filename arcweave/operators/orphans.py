@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.common import by_position, position, shuffle_width
+from arcweave.common import by_position, materialize, position, shuffle_width
 
 MATCHES = ("simple", "partial", "full")
 
@@ -113,7 +113,7 @@ def orphan_references(
         known = p
         for n in there:
             known = known.filter(F.col(n).isNotNull())
-        spans = _spans(known, there)
+        spans = materialize(_spans(known, there), "spans")  # else each branch of a union of references makes them anew
         first = known.groupBy(*there).agg(F.min("begin").alias("first_begin"), F.lit(True).alias("known"))
         group = group.select(*there, "at", *c)
         spans = spans.select(*[F.col(n).alias(f"p_{n}") for n in there], "begin", "end")
