@@ -19,25 +19,27 @@ class Graph:
     The reads come in two forms: for a DataFrame of ids (``*_of``) and for one id.
     """
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, nodes: dict[str, DataFrame], directed: DataFrame | None, adjacency: DataFrame | None = None):
-        self.spark, self.catalog, self.nodes, self.directed = spark, catalog, nodes, directed
+    def __init__(self, spark: SparkSession, catalog: Catalog, nodes: dict[str, DataFrame], relations: dict[str, DataFrame], adjacency: DataFrame | None = None):
+        """``relations``: edges with their attributes by relation name; ``adjacency``: a stored one, where there are none."""
+        self.spark, self.catalog, self.nodes, self.relations = spark, catalog, nodes, relations
         self._stored = adjacency
-        self.adjacency = both_directions(directed) if adjacency is None else adjacency.select(*ADJACENCY)
+        self.directed = spark.createDataFrame([], "rel string, src_id long, dst_id long, ts int")
+        for df in relations.values():
+            self.directed = self.directed.unionByName(df.select("rel", "src_id", "dst_id", "ts"))
+        self.adjacency = both_directions(self.directed) if adjacency is None else adjacency.select(*ADJACENCY)
 
     @classmethod
     def from_files(cls, spark: SparkSession, directory: str, strict: bool = True, quoted: bool = False, known: dict[str, int] | None = None) -> Graph:
         """Loads ``node_*.csv`` and ``relation_*.csv`` of a directory. ``known``: ordinals of an earlier load to keep."""
         catalog, node_files, relation_files = delimited.discover(spark, directory, known)
         nodes = {t: delimited.read_nodes(spark, f, catalog.types[t], catalog.ordinal(t), strict, quoted) for t, f in node_files.items()}
-        directed = spark.createDataFrame([], "rel string, src_id long, dst_id long, ts int")
-        for name, files in relation_files.items():
-            directed = directed.unionByName(delimited.read_relation(spark, files, catalog.relations[name], catalog, quoted), allowMissingColumns=True)
-        return cls(spark, catalog, nodes, directed)
+        relations = {name: delimited.read_relation(spark, files, catalog.relations[name], catalog, quoted) for name, files in relation_files.items()}
+        return cls(spark, catalog, nodes, relations)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Graph:
         catalog, nodes, adjacency = store.load(spark, path)
-        return cls(spark, catalog, nodes, None, adjacency)
+        return cls(spark, catalog, nodes, {}, adjacency)
 
     def save(self, path: str, buckets: int = store.BUCKETS) -> None:
         store.save(path, self.catalog, self.nodes, self.adjacency, buckets)

@@ -95,6 +95,9 @@ def relation_lines(spark: SparkSession, files: list[str], quoted: bool = False)
 
 def read_relation(spark: SparkSession, files: list[str], rel: Relation, catalog: Catalog, quoted: bool = False) -> DataFrame:
     """Usable lines as edges (rel, src_id, dst_id, ts, <attributes after ts>); the others are dropped, see rejected_lines."""
+    taken = {"rel", "src_id", "dst_id", "ts"}
+    if clash := [n for n, _ in rel.attributes[1:] if n.lower() in taken]:
+        raise ValueError(f"attributes of {rel.name} can't be called {clash}")
     good = relation_lines(spark, files, quoted).filter("usable")
     attributes = [parse_column(F.get("f", F.lit(i)), token, strict=False).alias(name) for i, (name, token) in enumerate(rel.attributes[1:], start=3)]
     return good.select(

@@ -85,6 +85,21 @@ def test_relation_lines(spark, tmp_path, rows):
     assert quoted.fetch_node_id("user", "q,1") in {r.src_id for r in quoted.directed.collect()}
 
 
+def test_edge_attributes(spark, tmp_path, rows):
+    g = graph(spark, tmp_path, relation_r="u(user),i(item),ts:int,w:float,ok:bool\na,x,1,2.5,yes\nb,y,2,?,", relation_s="u(user),i(item),when:int,w:str\na,x,7,text\nb,y,8")
+    assert rows(g.relations["r"].select("ts", "w", "ok")) == [(1, 2.5, True), (2, None, False)]
+    assert rows(g.relations["s"].select("ts", "w")) == [(7, "text"), (8, None)]
+    assert g.directed.count() == 4 and g.catalog.relation_attributes("s") == (("when", "int"), ("w", "str"))
+    (tmp_path / "relation_s.csv").write_text("u(user),i(item),ts:int,rel:str\na,x,7,text\n")
+    with pytest.raises(ValueError):
+        Graph.from_files(spark, str(tmp_path))
+
+
+def test_no_files(spark, tmp_path):
+    g = Graph.from_files(spark, str(tmp_path))
+    assert g.adjacency.count() == 0 and g.nodes == {} and g.csr_index().count() == 0
+
+
 def test_crlf_and_no_last_newline(spark, tmp_path):
     g = graph(spark, tmp_path, relation_r="u(user),i(item),ts:int\r\na,x,1\r\nb,longname,2")
     assert {(r.src_id, r.dst_id, r.ts) for r in g.directed.collect()} == {(g.fetch_node_id("user", a), g.fetch_node_id("item", b), t) for a, b, t in (("a", "x", 1), ("b", "longname", 2))}
