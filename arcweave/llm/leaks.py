@@ -1,8 +1,9 @@
 """Evaluation passages inside a training corpus: spaced-seed hashing.
 
 Words are the maximal runs of letters and digits of the canonical text in lower case. A seed is a fixed mask over
-``min_words`` consecutive words; words at the masked-out places are ignored, so a seed survives substitutions there,
-and every run of ``min_words`` equal words makes all masks hit: exact overlaps are never missed. The seed hashes of
+``min_words`` consecutive words; words at the masked-out places are ignored, so a seed survives substitutions there.
+The masks together ignore every choice of ``substitutions`` places, so that any ``min_words`` words with at most so many
+exchanged ones make a mask hit, wherever these stand: neither exact nor similar overlaps are missed. The seed hashes of
 all test items are joined with those of all corpus positions, and around each hit the two texts are compared word
 by word along the hit's diagonal.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,16 @@ def words_of(text: str, form: Canonical) -> list[str]:
     return _WORD.findall(form(text).lower())
 
 
-def masks(min_words: int) -> list[list[int]]:
-    """Three masks of span ``min_words`` that each ignore another quarter of the places (none where words are few)."""
-    if min_words < 4:
-        return [list(range(min_words))]
-    return [[p for p in range(min_words) if p % 4 != r] for r in (1, 2, 3)]
+def masks(min_words: int, substitutions: int = 2) -> list[list[int]]:
+    """Masks of span ``min_words`` of which one at least has none of any ``substitutions`` places.
+
+    The places fall into ``substitutions`` + 2 classes, and each mask ignores another choice of ``substitutions`` of them.
+    In fewer words than classes, the first word is the seed: a similar span begins with an equal word.
+    """
+    classes = substitutions + 2
+    if substitutions and min_words < classes:
+        return [[0]]
+    return [[p for p in range(min_words) if p % classes not in left_out] for left_out in combinations(range(min(classes, min_words)), substitutions)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -116,8 +123,8 @@ def _seeds(words: np.ndarray, mask: list[int], span: int) -> np.ndarray:
 class _Windows:
     """Seed hashes of all windows of a list of texts."""
 
-    def __init__(self, min_words: int, form: Canonical):
-        self.span, self.masks, self.form, self.hasher = min_words, masks(min_words), form, None
+    def __init__(self, min_words: int, form: Canonical, substitutions: int = 2):
+        self.span, self.masks, self.form, self.hasher = min_words, masks(min_words, substitutions), form, None
 
     def __getstate__(self):
         return self.__dict__ | {"hasher": None}
@@ -170,7 +177,8 @@ def compare(doc: list, item: list, diagonals: set[int], allowed: int) -> tuple[i
 def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 12, substitutions: int = 2, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Overlaps of documents and test items, the best one per (row of docs, item): doc_id, item_id, exact_words (longest run
     of equal words), similar_words (longest span with at most ``substitutions`` words exchanged), substitutions (in
-    that span), doc_word, item_word (where it begins). Every pair with ``min_words`` equal consecutive words is found.
+    that span), doc_word, item_word (where it begins). Every pair with a similar span of ``min_words`` is found, wherever its
+    exchanged words stand, and so is every pair with ``min_words`` equal consecutive words; pairs with less may come out too.
 
     All documents and whole texts are read. The seeds of the items are sent to all tasks if they number at most
     ``broadcast_seeds`` and their texts take at most BROADCAST_BYTES; then no document is shuffled at all. Larger test
@@ -182,11 +190,13 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     """
     if min_words < 1:
         raise ValueError("min_words must be at least 1")
+    if substitutions < 0:
+        raise ValueError("substitutions can't be negative")
     d, t = pick(docs, k=doc_id, t=doc_text), pick(items, i=item_id, t=item_text).filter("t IS NOT NULL").distinct()
     kind = {"k": d.schema["k"].dataType.simpleString(), "i": t.schema["i"].dataType.simpleString()}
     schema = _OUT.format(**kind)
     size = t.agg(F.sum(F.octet_length("t")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    bound = (size["bytes"] or 0) // 2 * 3  # a word and what separates it take two bytes at least; three masks
+    bound = (size["bytes"] or 0) // 2 * len(masks(min_words, substitutions))  # a word and what separates it take two bytes at least
     if bound <= broadcast_seeds and (size["bytes"] or 0) <= BROADCAST_BYTES:
         rows = t.collect()
         return _leaks_by_broadcast(d, [r["i"] for r in rows], [r["t"] for r in rows], min_words, substitutions, schema)
@@ -195,7 +205,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
 
 def _leaks_by_broadcast(d: DataFrame, ids: list, texts: list[str], min_words: int, allowed: int, schema: str) -> DataFrame:
     form = Canonical()
-    windows = _Windows(min_words, form)
+    windows = _Windows(min_words, form, allowed)
     seeds, owner, place = [[] for _ in windows.masks], [[] for _ in windows.masks], [[] for _ in windows.masks]
     for first, group in windows.groups(texts):
         for m, h, of, at in windows(group):
@@ -249,7 +259,7 @@ def _arrow_schema(spark, ddl: str) -> pa.Schema:
 def _leaks_by_shuffle(d: DataFrame, t: DataFrame, min_words: int, allowed: int, schema: str) -> DataFrame:
     """The same for test sets of any size. Seeds and hits carry row numbers; texts meet only where a hit is."""
     form = Canonical()
-    windows = _Windows(min_words, form)
+    windows = _Windows(min_words, form, allowed)
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

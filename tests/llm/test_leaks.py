@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import pytest
 
@@ -85,6 +86,44 @@ def test_masks():
         assert all(m and 0 <= min(m) and max(m) < n for m in masks(n))
 
 
+@pytest.mark.parametrize("substitutions", [0, 1, 2, 3])
+def test_masks_cover_every_placement(substitutions):
+    for n in range(1, 18):
+        for length in (n, n + 1, n + 5):
+            for wrong in combinations(range(1, length - 1), min(substitutions, max(0, length - 2))):
+                assert any(not any(at + p in wrong for p in m) for m in masks(n, substitutions) for at in range(length - n + 1)), (n, length, wrong)
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_every_placement_of_exchanged_words(spark, limit):
+    docs, items, want = [], [], set()
+    for n in (12, 13, 16):
+        for wrong in [*((p,) for p in range(1, n - 1)), *combinations(range(1, n - 1), 2)]:
+            k = len(docs)
+            item = [f"k{k}p{p}" for p in range(n)]
+            docs.append((k, "before " + " ".join("other" if p in wrong else w for p, w in enumerate(item)) + " after"))
+            items.append((k, " ".join(item)))
+            want.add((k, k, n, len(wrong)))
+    d, t = spark.createDataFrame(docs, "id long, t string").repartition(2), spark.createDataFrame(items, "i long, t string")
+    found = find_leaks(d, "id", "t", t, "i", "t", 12, 2, broadcast_seeds=limit)
+    assert {(r.doc_id, r.item_id, r.similar_words, r.substitutions) for r in found.collect() if r.similar_words >= 12} == want
+
+
+@pytest.mark.parametrize(("min_words", "substitutions"), [(3, 2), (5, 1), (8, 2), (8, 3), (12, 2)])
+def test_every_similar_overlap(spark, min_words, substitutions):
+    docs, items = corpus(6)
+    d, t = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(items, "i long, t string")
+    got = {(r.doc_id, r.item_id): (r.similar_words, r.substitutions, r.doc_word, r.item_word) for r in find_leaks(d, "id", "t", t, "i", "t", min_words, substitutions).collect()}
+    want = {}
+    for i, text in docs:
+        for j, item in items:
+            a, b = words_of(text, FORM), words_of(item, FORM)
+            best = compare(a, b, set(range(-len(b) + 1, len(a))), substitutions)[1:]
+            if best[0] >= min_words:
+                want[i, j] = best
+    assert want and {k: v for k, v in got.items() if v[0] >= min_words} == want
+
+
 def test_hashes_follow_words():
     texts = ["ab cd", "", "cd_ab", "日本 ab\U00010400x", "½ ²x"]
     hashes, of = _Hasher()(texts)
