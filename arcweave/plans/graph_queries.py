@@ -1,7 +1,8 @@
 """Queries of the graph operators over the given node and relation tables, with SQL twins.
 
 Node types and ordinals: acct 0, item 1, site 2. Every query reads whole tables. Reads take as their batch of ids a
-whole table: the site nodes (neighbourhoods), the noted keys of idx_arr (attributes) or all relation rows (pairs).
+whole table: the site nodes (neighbourhoods), the noted keys of idx_arr (attributes) or the rows of relation_item_site
+(pairs). The reads ``*_all`` take the rows of both relations.
 """
 
 from __future__ import annotations
@@ -103,6 +104,11 @@ def edge_attr(spark: SparkSession, sf: str) -> DataFrame:
     return reads.edge_entries(pairs, _adjacency(spark, sf))
 
 
+def edge_attr_all(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = _directed(spark, sf).select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
+    return reads.edge_entries(pairs, _adjacency(spark, sf))
+
+
 def degrees(spark: SparkSession, sf: str) -> DataFrame:
     return degree(_adjacency(spark, sf))
 
@@ -169,7 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "neighbor_edges": neighbor_edges, "neighbor_nodes": neighbor_nodes, "neighbor_attrs": neighbor_attrs, "edge_attr": edge_attr, "degree": degrees,
         "csr_index": csr, "bucket_histogram": buckets, "entry_total": entry_total, "first_k_edges": first_k_edges, "sample_first": sample_first,
         "khop_nodes": khop_nodes, "khop_edges": khop_edges, "freq_words": freq_words, "heavy_hitters": heavy_hitters, "line_stats": line_stats,
-        "line_stats_plain": line_stats_plain, "parse_bool": parse_bool, "parse_rows": parse_rows,
+        "line_stats_plain": line_stats_plain, "parse_bool": parse_bool, "parse_rows": parse_rows, "edge_attr_all": edge_attr_all,
     }
     return named
 
@@ -199,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "neighbor_nodes": f"WITH {adj} SELECT src_id, dst_id FROM adj WHERE src_id IN ({sites})",
         "neighbor_attrs": f"WITH {adj}, n AS ({newest('item')}) SELECT src_id, dst_id, attr1, attr2 FROM adj JOIN n ON dst_id = node_id WHERE src_id IN ({sites})",
         "edge_attr": f"WITH {adj} SELECT * FROM adj WHERE (src_id, dst_id) IN (SELECT (b, a) FROM e WHERE rel = 'relation_item_site')",
+        "edge_attr_all": f"WITH {adj} SELECT * FROM adj WHERE (src_id, dst_id) IN (SELECT (b, a) FROM e)",
         "degree": f"WITH {adj} SELECT src_id, count(*) AS length FROM adj GROUP BY ALL",
         "csr_index": f'WITH {adj}, d AS (SELECT src_id, count(*) AS length FROM adj GROUP BY ALL) SELECT src_id, (sum(length) OVER (ORDER BY src_id) - length)::BIGINT AS "offset", length FROM d',
         "bucket_histogram": f"WITH {adj} SELECT (src_id & 63)::INTEGER AS bucket, count(*) AS cnt FROM adj GROUP BY ALL",
