@@ -64,16 +64,20 @@ def expand(seeds: DataFrame, adjacency: DataFrame, degrees: Sequence[int] = (4,
     At each level every node reached so far, not only the newest, gives its first ``degree`` entries. ``seeds`` has
     node_id. The first max(degrees) entries of all nodes are limited once and written, and so are the edges of each
     level, so that no level computes an earlier one again. A level adds at most ``degree`` rows a reached node, whatever
-    the nodes' degrees are.
+    the nodes' degrees are, and only such as no earlier level gave: ``seen`` is how many entries a node has given.
     """
-    ranked = materialize(first_edges(adjacency, max([0, *degrees])), "first-edges")
-    nodes = _distinct(seeds, "node_id").select(F.col("node_id").alias("seed_id"), "node_id")
+    ranked = first_edges(adjacency, max([0, *degrees])).groupBy("src_id", "dst_id", "ts").agg(F.min("place").alias("place"))  # equal entries are neighbours
+    ranked = materialize(ranked, "first-edges")
+    nodes = _distinct(seeds, "node_id").select(F.col("node_id").alias("seed_id"), "node_id", F.lit(0).alias("seen"))
     found = None
     for d in degrees:
-        new = nodes.join(ranked.filter(F.col("place") <= d), F.col("node_id") == F.col("src_id")).select("seed_id", "src_id", "dst_id", "ts")
-        new = materialize(new, "level")
+        new = nodes.filter(F.col("seen") < d).join(ranked, (F.col("node_id") == F.col("src_id")) & (F.col("place") > F.col("seen")) & (F.col("place") <= d))
+        new = materialize(new.select("seed_id", "src_id", "dst_id", "ts"), "level")
         found = new if found is None else found.unionByName(new)
-        nodes = nodes.unionByName(new.select("seed_id", F.col("dst_id").alias("node_id"))).distinct()
+        given = nodes.withColumn("seen", F.greatest("seen", F.lit(d)))
+        reached = given.unionByName(new.select("seed_id", F.col("dst_id").alias("node_id"), F.lit(0).alias("seen")))
+        nodes = reached.groupBy("seed_id", "node_id").agg(F.max("seen").alias("seen"))
+    nodes = nodes.select("seed_id", "node_id")
     if found is None:
         found = nodes.join(ranked, F.col("node_id") == F.col("src_id")).select("seed_id", "src_id", "dst_id", "ts").filter(F.lit(False))
-    return nodes, found.distinct()
+    return nodes, found

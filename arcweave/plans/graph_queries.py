@@ -2,7 +2,7 @@
 
 Node types and ordinals: acct 0, item 1, site 2. Every query reads whole tables. Reads take as their batch of ids a
 whole table: the site nodes (neighbourhoods), the noted keys of idx_arr (attributes) or the rows of relation_item_site
-(pairs). The reads ``*_all`` take the rows of both relations.
+(pairs). The reads ``*_all`` take the nodes of all three types, with attributes of every type, or the rows of both relations.
 """
 
 from __future__ import annotations
@@ -51,6 +51,14 @@ def _sites(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "node_site").select("node_id")
 
 
+def _all_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for kind in ORDINALS:
+        one = _table(spark, sf, f"node_{kind}").select("node_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for rel, (a, b) in RELATIONS.items():
@@ -99,6 +107,22 @@ def neighbor_attrs(spark: SparkSession, sf: str) -> DataFrame:
     return reads.neighbor_attributes(_sites(spark, sf), _adjacency(spark, sf), items).select("src_id", "dst_id", "attr1", "attr2")
 
 
+def neighbor_edges_all(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.neighbor_edges(_all_nodes(spark, sf), _adjacency(spark, sf))
+
+
+def neighbor_nodes_all(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.neighbor_nodes(_all_nodes(spark, sf), _adjacency(spark, sf))
+
+
+def neighbor_attrs_all(spark: SparkSession, sf: str) -> DataFrame:
+    far = None
+    for kind in ORDINALS:
+        one = _nodes(spark, sf, kind).select("node_id", "attr1", "attr2")
+        far = one if far is None else far.unionByName(one)
+    return reads.neighbor_attributes(_all_nodes(spark, sf), _adjacency(spark, sf), far).select("src_id", "dst_id", "attr1", "attr2")
+
+
 def edge_attr(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _directed(spark, sf).filter(F.col("rel") == "relation_item_site").select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
     return reads.edge_entries(pairs, _adjacency(spark, sf))
@@ -133,6 +157,10 @@ def sample_first(spark: SparkSession, sf: str) -> DataFrame:
     return reads.sample_first(_sites(spark, sf), _adjacency(spark, sf), FIRST)
 
 
+def sample_first_all(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.sample_first(_all_nodes(spark, sf), _adjacency(spark, sf), FIRST)
+
+
 def khop_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return reads.expand(_sites(spark, sf), _adjacency(spark, sf), DEGREES)[0]
 
@@ -141,6 +169,14 @@ def khop_edges(spark: SparkSession, sf: str) -> DataFrame:
     return reads.expand(_sites(spark, sf), _adjacency(spark, sf), DEGREES)[1]
 
 
+def khop_nodes_all(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.expand(_all_nodes(spark, sf), _adjacency(spark, sf), DEGREES)[0]
+
+
+def khop_edges_all(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.expand(_all_nodes(spark, sf), _adjacency(spark, sf), DEGREES)[1]
+
+
 def freq_words(spark: SparkSession, sf: str) -> DataFrame:
     return stats.top_words(_words(spark, sf))
 
@@ -176,6 +212,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csr_index": csr, "bucket_histogram": buckets, "entry_total": entry_total, "first_k_edges": first_k_edges, "sample_first": sample_first,
         "khop_nodes": khop_nodes, "khop_edges": khop_edges, "freq_words": freq_words, "heavy_hitters": heavy_hitters, "line_stats": line_stats,
         "line_stats_plain": line_stats_plain, "parse_bool": parse_bool, "parse_rows": parse_rows, "edge_attr_all": edge_attr_all,
+        "neighbor_edges_all": neighbor_edges_all, "neighbor_nodes_all": neighbor_nodes_all, "neighbor_attrs_all": neighbor_attrs_all,
+        "sample_first_all": sample_first_all, "khop_nodes_all": khop_nodes_all, "khop_edges_all": khop_edges_all,
     }
     return named
 
@@ -189,6 +227,8 @@ def oracle_sql() -> dict[str, str]:
     hops = "n0 AS (SELECT DISTINCT node_id AS seed_id, node_id FROM node_site)"
     for i, d in enumerate(DEGREES, start=1):
         hops += f", e{i} AS (SELECT DISTINCT seed_id, src_id, dst_id, ts FROM n{i - 1} JOIN r ON node_id = src_id WHERE place <= {d}), n{i} AS (SELECT * FROM n{i - 1} UNION SELECT seed_id, dst_id FROM e{i})"
+    every = " UNION ALL ".join(f"SELECT node_id FROM node_{t}" for t in ORDINALS)
+    all_hops = hops.replace("FROM node_site", f"FROM ({every})")
     last = len(DEGREES)
     words = " UNION ALL ".join(f"SELECT '{t}' AS node_type, {side}_key AS key FROM {rel} WHERE {usable}" for rel, ends in RELATIONS.items() for side, t in zip(("from", "to"), ends))
     counts = f"c AS (SELECT node_type, key, count(*) AS cnt FROM ({words}) GROUP BY ALL), t AS (SELECT node_type, sum(cnt)::BIGINT AS n_entries FROM c GROUP BY ALL), top AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY node_type ORDER BY cnt DESC, key) <= {stats.TOP_KEEP})"
@@ -205,6 +245,12 @@ def oracle_sql() -> dict[str, str]:
         "neighbor_nodes": f"WITH {adj} SELECT src_id, dst_id FROM adj WHERE src_id IN ({sites})",
         "neighbor_attrs": f"WITH {adj}, n AS ({newest('item')}) SELECT src_id, dst_id, attr1, attr2 FROM adj JOIN n ON dst_id = node_id WHERE src_id IN ({sites})",
         "edge_attr": f"WITH {adj} SELECT * FROM adj WHERE (src_id, dst_id) IN (SELECT (b, a) FROM e WHERE rel = 'relation_item_site')",
+        "neighbor_edges_all": f"WITH {adj} SELECT * FROM adj WHERE src_id IN ({every})",
+        "neighbor_nodes_all": f"WITH {adj} SELECT src_id, dst_id FROM adj WHERE src_id IN ({every})",
+        "neighbor_attrs_all": f"WITH {adj}, n AS ({' UNION ALL '.join(f'SELECT * FROM ({newest(t)})' for t in ORDINALS)}) SELECT src_id, dst_id, attr1, attr2 FROM adj JOIN n ON dst_id = node_id WHERE src_id IN ({every})",
+        "sample_first_all": f"WITH {adj}, {ranked} SELECT src_id, dst_id, ts FROM r WHERE place <= {FIRST} AND src_id IN ({every})",
+        "khop_nodes_all": f"WITH {adj}, {ranked}, {all_hops} SELECT * FROM n{last}",
+        "khop_edges_all": f"WITH {adj}, {ranked}, {all_hops} SELECT * FROM ({' UNION '.join(f'SELECT * FROM e{i}' for i in range(1, last + 1))})",
         "edge_attr_all": f"WITH {adj} SELECT * FROM adj WHERE (src_id, dst_id) IN (SELECT (b, a) FROM e)",
         "degree": f"WITH {adj} SELECT src_id, count(*) AS length FROM adj GROUP BY ALL",
         "csr_index": f'WITH {adj}, d AS (SELECT src_id, count(*) AS length FROM adj GROUP BY ALL) SELECT src_id, (sum(length) OVER (ORDER BY src_id) - length)::BIGINT AS "offset", length FROM d',

@@ -25,3 +25,19 @@ def ident(key):
 def test_pairs_of_both_relations(spark, rows, tables):
     want = [("i1", "a1", 1), ("i1", "a1", 1), ("i2", "a2", 2), ("gone", "a2", 3), ("s1", "i1", 5)]
     assert rows(graph_queries.queries()["edge_attr_all"](spark, tables)) == sorted([(ident(a), ident(b), t) for a, b, t in want], key=str)
+
+
+def test_neighbours_of_every_type(spark, rows, tables):
+    q = {name: f(spark, tables) for name, f in graph_queries.queries().items() if name.endswith("_all")}
+    # a reference to "gone", which is no node, is an entry of a2; it is not asked for and has no attributes
+    edges = [("a1", "i1", 1), ("a1", "i1", 1), ("i1", "a1", 1), ("i1", "a1", 1), ("a2", "i2", 2), ("i2", "a2", 2), ("a2", "gone", 3), ("i1", "s1", 5), ("s1", "i1", 5)]
+    want = [(ident(a), ident(b), t) for a, b, t in edges]
+    assert rows(q["neighbor_edges_all"]) == rows(q["sample_first_all"]) == sorted(want, key=str)
+    assert rows(q["neighbor_nodes_all"]) == sorted([x[:2] for x in want], key=str)
+    place = {"a1": 0, "a2": 1, "i1": 0, "i2": 1, "s1": 0}
+    assert rows(q["neighbor_attrs_all"]) == sorted([(ident(a), ident(b), place[b], 0.5) for a, b, _ in edges if b in place], key=str)
+    together = ({"a1", "i1", "s1"}, {"a2", "i2", "gone"})
+    assert {tuple(r) for r in q["khop_nodes_all"].collect()} == {(ident(a), ident(b)) for group in together for a in group - {"gone"} for b in group}
+    # "gone" is reached and gives its own entry, too
+    found = {(ident(s), ident(a), ident(b), t) for group in together for s in group - {"gone"} for a, b, t in [*edges, ("gone", "a2", 3)] if a in group}
+    assert {tuple(r) for r in q["khop_edges_all"].collect()} == found
