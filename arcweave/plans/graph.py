@@ -20,7 +20,7 @@ class Graph:
     """
 
     def __init__(self, spark: SparkSession, catalog: Catalog, nodes: dict[str, DataFrame], relations: dict[str, DataFrame], adjacency: DataFrame | None = None):
-        """``relations``: edges with their attributes by relation name; ``adjacency``: a stored one, where there are none."""
+        """``relations``: edges with their attributes by relation name; ``adjacency``: a stored one, else it is made of them."""
         self.spark, self.catalog, self.nodes, self.relations = spark, catalog, nodes, relations
         self._stored = adjacency
         self.directed = spark.createDataFrame([], "rel string, src_id long, dst_id long, ts int")
@@ -38,11 +38,11 @@ class Graph:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Graph:
-        catalog, nodes, adjacency = store.load(spark, path)
-        return cls(spark, catalog, nodes, {}, adjacency)
+        catalog, nodes, relations, adjacency = store.load(spark, path)
+        return cls(spark, catalog, nodes, relations, adjacency)
 
     def save(self, path: str, buckets: int = store.BUCKETS) -> None:
-        store.save(path, self.catalog, self.nodes, self.adjacency, buckets)
+        store.save(path, self.catalog, self.nodes, self.relations, self.adjacency, buckets)
 
     def create_views(self, prefix: str = "") -> None:
         """Temporary views ``<prefix>node_<type>`` and ``<prefix>adjacency``, for SQL."""

@@ -1,7 +1,10 @@
-"""A graph as tables below one path: the catalog, one table per node type, the adjacency partitioned by bucket."""
+"""A graph as tables below one path: the catalog, one table per node type, the edges with their attributes by relation, the
+adjacency partitioned by bucket."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +37,28 @@ def lookup_by_bucket(ids: DataFrame, stored: DataFrame, key: str, buckets: int =
     return stored.join(wanted, ["bucket", key])
 
 
-def save(path: str, catalog: Catalog, nodes: dict[str, DataFrame], adjacency: DataFrame, buckets: int = BUCKETS) -> None:
+def save(path: str, catalog: Catalog, nodes: dict[str, DataFrame], relations: dict[str, DataFrame], adjacency: DataFrame, buckets: int = BUCKETS) -> None:
     spark = adjacency.sparkSession
     for name, df in nodes.items():
         write_table(df, f"{path}/nodes/{name}")
+    for name, df in relations.items():
+        write_table(df, f"{path}/relations/{name}")
     write_adjacency(adjacency, f"{path}/adjacency", buckets)
     catalog.save(spark, path)
 
 
-def load(spark: SparkSession, path: str) -> tuple[Catalog, dict[str, DataFrame], DataFrame]:
-    catalog = Catalog.load(spark, path)
-    nodes = {}
-    for name, t in catalog.types.items():
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes/{name}")
+def _tables(spark: SparkSession, path: str, names: Iterable[str]) -> dict[str, DataFrame]:
+    """The tables below ``path`` that are there."""
+    found = {}
+    for name in names:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            nodes[name] = spark.read.parquet(f"{path}/nodes/{name}")
-    return catalog, nodes, read_adjacency(spark, f"{path}/adjacency")
+            found[name] = spark.read.parquet(f"{path}/{name}")
+    return found
+
+
+def load(spark: SparkSession, path: str) -> tuple[Catalog, dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
+    """(catalog, nodes, relations, adjacency); no relations in a graph that was saved without them."""
+    catalog = Catalog.load(spark, path)
+    nodes, relations = _tables(spark, f"{path}/nodes", catalog.types), _tables(spark, f"{path}/relations", catalog.relations)
+    return catalog, nodes, relations, read_adjacency(spark, f"{path}/adjacency")
