@@ -6,7 +6,7 @@ from pathlib import Path
 import pyarrow as pa
 import pytest
 
-from arcweave.common import materialize, pick, position, run_starts
+from arcweave.common import checkpoint_dir, materialize, one_machine, pick, position, release, run_starts, scratch_scope
 
 SCRIPT = """
 import sys
@@ -48,3 +48,41 @@ def test_run_starts():
     assert run_starts([a, b], None).tolist() == [True, False, True, True, True]
     assert run_starts([a, b], ["x", 1]).tolist() == [False, False, True, True, True]
     assert run_starts([a[:0], b[:0]], None).tolist() == []
+
+
+def test_nans_are_equal():
+    nan = float("nan")
+    a = pa.array([1.0, nan, nan, None, None], pa.float64())
+    assert run_starts([a], None).tolist() == [True, True, False, True, False]
+    assert run_starts([a[1:]], [nan]).tolist() == [False, False, True, False]
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = Conf  # noqa: N815
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+    assert [one_machine(m) for m in ("local", "local[4]", "local-cluster[2,1,1024]", "yarn", "k8s://x", "spark://local:1")] == [True] * 3 + [False] * 3
+
+
+def test_scratch_tables_are_dropped(spark):
+    path = lambda df: Path(df.inputFiles()[0].removeprefix("file://")).parent
+    with scratch_scope(spark):
+        a = path(materialize(spark.range(3), "a"))
+        with scratch_scope(spark):
+            b = path(materialize(spark.range(3), "b"))
+        assert a.exists() and not b.exists()
+    assert not a.exists()
+    kept, gone = materialize(spark.range(3), "c"), materialize(spark.range(3), "d")
+    d = path(gone)
+    release(gone, spark.range(1))
+    assert not d.exists() and kept.count() == 3
