@@ -15,6 +15,7 @@ from arcweave.operators.structural_parse import rejects, relation_rows, relation
 
 RELATIONS = {"relation_acct_item": ("node_acct", "node_item"), "relation_item_site": ("node_item", "node_site")}
 NODES = ("node_acct", "node_item", "node_site")
+CHUNK_ROWS = 100  # p4_key_chunks
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,9 +34,9 @@ def p2_relation_rows(spark: SparkSession, sf: str) -> DataFrame:
     return relation_rows(_records(spark, sf), ["line_id"])
 
 
-def _key_runs(spark: SparkSession, sf: str) -> DataFrame:
+def _key_runs(spark: SparkSession, sf: str, chunk_rows: int | None = None) -> DataFrame:
     rows = _table(spark, sf, "relation_acct_item").filter(F.col("from_key").isNotNull())
-    return per_key(rows, ["load_no", "from_key"], "ts", ["edge_id"])
+    return per_key(rows, ["load_no", "from_key"], "ts", ["edge_id"], chunk_rows)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,6 +52,11 @@ def p4_key_runs(spark: SparkSession, sf: str) -> DataFrame:
     return _key_runs(spark, sf).drop("n_chunks")
 
 
+def p4_key_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of a stated size, so that their number can be checked; the other queries size them by the number of rows."""
+    return _key_runs(spark, sf, CHUNK_ROWS)
+
+
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
     refs = None
     for rel, ends in RELATIONS.items():
@@ -93,7 +99,7 @@ def p6_archive_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (p2_found, p2_relation_rows, p4_found, p4_key_runs, p5_found, p5_report, p6_found, p6_consolidated, p6_archive_files)
+    fs = (p2_found, p2_relation_rows, p4_found, p4_key_runs, p4_key_chunks, p5_found, p5_report, p6_found, p6_consolidated, p6_archive_files)
     return {f.__name__: f for f in fs}
 
 
@@ -110,6 +116,10 @@ def oracle_sql() -> dict[str, str]:
         f" WHEN NOT regexp_full_match(k2, '[A-Za-z0-9]{{8}}item') THEN 'to_key' WHEN NOT regexp_full_match({ts}, '[+-]?[0-9]+') OR try_cast({ts} AS INTEGER) IS NULL THEN 'ts' END AS reason, k1, k2, {ts} AS ts, {value(4)} AS a2, {value(5)} AS a3, f[5] AS r3, {value(6)} AS a4, f[6] AS r4"
         f" FROM (SELECT *, {value(1)} AS k1, {value(2)} AS k2, {value(3)} AS ts0 FROM (SELECT line_id, regexp_full_match({bare}, {shape}) AS well, {fields} AS f FROM raw_relation))"
     )
+    runs = (
+        "SELECT load_no, from_key, count(*) AS n_rows, min(ts) AS first_value, max(ts) AS last_value, max(step) AS largest_step CHUNKS"
+        " FROM (SELECT *, ts::BIGINT - lag(ts) OVER (PARTITION BY load_no, from_key ORDER BY ts NULLS FIRST) AS step FROM relation_acct_item WHERE from_key IS NOT NULL) GROUP BY load_no, from_key"
+    )
     refs = " UNION ALL ".join(f"SELECT '{rel}' AS rel, edge_id, '{side}' AS side, '{node}' AS node_table, {side}_key AS node_key, loaded_at AS seen_at FROM {rel} WHERE {side}_key IS NOT NULL" for rel, ends in RELATIONS.items() for side, node in zip(("from", "to"), ends))
     nodes = " UNION ALL ".join(f"SELECT '{n}' AS node_table, node_key, loaded_at, deleted_at FROM {n}" for n in NODES)
     orphans = (
@@ -130,8 +140,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_relation_rows": f"SELECT line_id, k1 AS from_key, k2 AS to_key, ts::INTEGER AS ts, try_cast(a2 AS DOUBLE) AS attr2, CASE WHEN r3 = '' THEN NULL ELSE lower(a3) IN ('yes', 'true', 't', '1') END AS attr3, CASE WHEN r4 = '' THEN NULL ELSE a4 END AS attr4 FROM ({parsed}) WHERE reason IS NULL",
         "p4_found": "WITH r AS (SELECT load_no, from_key, count(*) AS n FROM relation_acct_item WHERE from_key IS NOT NULL GROUP BY ALL)"
         " SELECT DISTINCT load_no, from_key FROM r FULL JOIN idx_arr USING (load_no, from_key) WHERE coalesce(n, 0) <> coalesce(length, 0)",
-        "p4_key_runs": "SELECT load_no, from_key, count(*) AS n_rows, min(ts) AS first_value, max(ts) AS last_value, max(step) AS largest_step"
-        " FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY load_no, from_key ORDER BY ts NULLS FIRST) AS step FROM relation_acct_item WHERE from_key IS NOT NULL) GROUP BY load_no, from_key",
+        "p4_key_runs": runs.replace("CHUNKS", ""),
+        "p4_key_chunks": runs.replace("CHUNKS", f", ceil(count(*) / {CHUNK_ROWS})::BIGINT AS n_chunks"),
         "p5_found": f"SELECT DISTINCT rel, edge_id, side, state, load_month FROM ({orphans})",
         "p5_report": f"SELECT rel, side, load_month, state, count(*) AS n_refs FROM ({orphans}) GROUP BY ALL",
         "p6_found": f"WITH r AS (SELECT DISTINCT file_id, pos FROM ({records}) WHERE {whole}) SELECT file_id, pos FROM r QUALIFY file_id > min(file_id) OVER (PARTITION BY pos)",

@@ -49,6 +49,27 @@ def test_hot_key_is_spread(spark):
     assert len(parts) == 4 and max(r[1] for r in parts) < 2000
 
 
+@pytest.mark.parametrize(("kind", "low", "high"), [("int", -(2**31), 2**31 - 1), ("long", -(2**63), 2**63 - 1), ("short", -(2**15), 2**15 - 1)])
+@pytest.mark.parametrize("chunk_rows", [1, 10])
+def test_widest_step(spark, kind, low, high, chunk_rows):
+    df = spark.createDataFrame([("k", high), ("k", low), ("k", None)], f"key string, ts {kind}")
+    assert [tuple(r) for r in per_key(df, ["key"], "ts", chunk_rows=chunk_rows).drop("n_chunks").collect()] == [("k", 3, low, high, high - low)]
+
+
+def test_nan_key_is_one_key(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 1), (nan, 5), (1.0, 2), (None, 3), (None, 4), (-0.0, 1), (0.0, 2)], "key double, ts int")
+    got = sorted(tuple(map(str, r)) for r in per_key(df, ["key"], "ts", chunk_rows=1).collect())
+    assert [r[1:] for r in got] == [("2", "1", "2", "1", "2"), ("1", "2", "2", "None", "1"), ("2", "3", "4", "1", "2"), ("2", "1", "5", "4", "2")]
+
+
+def test_hot_keys_are_cut_alike_at_every_size(spark):
+    for n in (400, 4000):
+        df = spark.createDataFrame([("hot" if i % 2 else f"k{i}", i) for i in range(n)], "key string, ts int")
+        chunks = {r.key: r.n_chunks for r in per_key(df, ["key"], "ts", partitions=4).collect()}
+        assert chunks.pop("hot") == 8 and set(chunks.values()) == {1}
+
+
 def test_empty_and_clashing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert per_key(df, ["load", "key"], "ts").count() == 0
