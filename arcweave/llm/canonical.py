@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.common import materialize, pick
+from arcweave.common import materialize, pick, release
 
 # Hyphen characters other than U+002D (hyphen, non-breaking, Armenian, Todo soft, small, full-width).
 HYPHENS = "‐‑֊᠆﹣－"
@@ -38,20 +38,31 @@ SILENT_MARKS = [(0x034F, 0x034F), (0x17B4, 0x17B5), (0x180B, 0x180D), (0x180F, 0
 # Format characters that are visible (signs that enclose numbers or annotate).
 VISIBLE_FORMAT = [(0x0600, 0x0605), (0x06DD, 0x06DD), (0x070F, 0x070F), (0x0890, 0x0891), (0x08E2, 0x08E2), (0xFFF9, 0xFFFB), (0x110BD, 0x110BD), (0x110CD, 0x110CD), (0x13430, 0x1343F)]
 
-# Letters of other scripts and the Latin letters they look like.
+# Letters of other scripts and the Latin letters they look like, as in confusables.txt of Unicode Technical
+# Standard #39 where that names one ASCII letter. Of the alternatives I, l and i the one that the letter is drawn like is
+# taken, and letters that are alike in some typefaces only (such as gamma and y, sigma and o, ghe and r) are left out.
 LOOK_ALIKES = {
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
-    "Т": "T", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
-    "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
+    "Т": "T", "Х": "X", "Ү": "Y", "Ѵ": "V", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "а": "a", "е": "e", "о": "o", "р": "p",
+    "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ѵ": "v", "ү": "y", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "ӏ": "l",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "Υ": "Y", "Χ": "X", "ο": "o", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
+    "Υ": "Y", "Χ": "X", "Ϝ": "F", "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "Ϲ": "C", "ϳ": "j",
+    "Ϳ": "J",
     # Armenian
-    "Օ": "O", "օ": "o", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "զ": "q",
+    "Լ": "L", "Ս": "U", "Տ": "S", "Օ": "O", "օ": "o", "հ": "h", "յ": "j", "ո": "n", "ս": "u", "ց": "g", "զ": "q",
     # Cherokee
-    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S",
-    "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P",
+    "Ꭱ": "R", "Ꮢ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Coptic
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X",
+    "Ⲍ": "Z", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N",
+    "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O",
+    "ꓴ": "U",
 }
 
 
@@ -197,15 +208,20 @@ def class_members(df: DataFrame, key: str, text: str) -> DataFrame:
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """All pairs of rows whose texts differ as stored but look the same: (<key>_a, <key>_b), a < b, distinct.
 
-    Only classes with at least two stored forms take part, and only rows of different forms are paired; exact copies
-    are never paired with each other. The number of rows is that of the result asked for.
+    First the different stored forms of a class are paired, then each pair of forms is filled with the rows that have
+    them. So every row that the joins make is a pair of the result (but for equal keys): exact copies never meet each
+    other, and n copies beside one variant cost n, not n^2. The number of rows is that of the result asked for.
 
     Defined cases: null texts are in no pair; empty texts are equal as stored; equal keys are in no pair.
     """
     looks = materialize(look_hashes(df, key, text).filter(F.col("look").isNotNull()), "looks")
     several = looks.groupBy("look").agg(F.min("form").alias("low"), F.max("form").alias("high")).filter("low <> high").select("look")
-    members = looks.join(several, "look", "left_semi").distinct()
-    a = members.select("look", F.col("k").alias("a"), F.col("form").alias("form_a"))
-    b = members.select("look", F.col("k").alias("b"), F.col("form").alias("form_b"))
-    pairs = a.join(b, "look").filter("a < b AND form_a <> form_b").select("a", "b").distinct()
+    members = materialize(looks.join(several, "look", "left_semi").distinct(), "members")
+    release(looks)
+    forms = members.select("look", "form").distinct()
+    low, high = (forms.select("look", F.col("form").alias(n)) for n in ("low", "high"))
+    met = low.join(high, "look").filter("low < high")
+    for n, m in (("low", "a"), ("high", "b")):
+        met = met.join(members.select("look", F.col("form").alias(n), F.col("k").alias(m)), ["look", n])
+    pairs = met.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.toDF(f"{key}_a", f"{key}_b")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.llm.bin_packing import pack_texts
-from arcweave.llm.canonical import class_members, fold_table, same_look_pairs
+from arcweave.llm.canonical import class_members, same_look_pairs
 from arcweave.llm.heavy_hitters import frequent_values
 from arcweave.llm.leaks import find_leaks
 from arcweave.llm.top_n import top_n_per_group
@@ -83,16 +83,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in fs}
 
 
+# Fixed values for the SQL: written down apart from the tables of the operator, so that each checks the other.
+SQL_NOTHING = r"[\x{AD}\x{34F}\x{61C}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{E0001}\x{E0020}-\x{E007F}\x{E0100}-\x{E01EF}]"
+SQL_SPACES = r"[\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+SQL_HYPHENS = r"[\x{2010}\x{2011}\x{58A}\x{1806}\x{FE63}\x{FF0D}]"
+SQL_JOINED = "ﬀ ff, ﬁ fi, ﬂ fl, ﬃ ffi, ﬄ ffl, ﬅ ſt, ﬆ st, ĳ ij, Ĳ IJ, Ǆ DŽ, ǅ Dž, ǆ dž, Ǉ LJ, ǈ Lj, ǉ lj, Ǌ NJ, ǋ Nj, ǌ nj, Ǳ DZ, ǲ Dz, ǳ dz"
+SQL_LETTERS = {
+    "АВЕЅІЈКМНОРСТХҮѴԌԚԜӀ": "ABESIJKMHOPCTXYVGQWI",
+    "аеорсухѕіјһѵүԁԛԝӏ": "aeopcyxsijhvydqwl",
+    "ЁёЇїЀѐ": "ËëÏïÈè",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϹͿ": "ABEZHIKMNOPTYXFCJ",
+    "αινορυϲϳ": "aivopucj",
+    "ΆΈΊΌΎάίόύϊϋ": "ÁÉÍÓÝáíóúïü",
+    "ԼՍՏՕօհյոսցզ": "LUSOohjnugq",
+    "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏒᏚᎢᏙᎳᏃ": "ABCDEGHJKLMPRRSTVWZ",
+    "ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲌⲟⲣⲥ": "BHIKMNOPCTYXZopc",
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",
+}
+
+
 def _sql_text(column: str) -> str:
-    """Canonical text in SQL: one-character foldings by translate, composition, ligatures by replace."""
-    table = {cp: to for cp, to in fold_table().items() if cp < 0x10000}
-    single = {chr(cp): to for cp, to in table.items() if len(to) == 1}
-    gone = "".join(chr(cp) for cp, to in table.items() if not to)
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    out = f"nfc_normalize(translate({column}, {quoted(''.join(single) + gone)}, {quoted(''.join(single.values()))}))"
-    for joined in ("ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ"):
-        out = f"replace({out}, '{joined}', '{table[ord(joined)]}')"
-    return out
+    """Canonical text in SQL: character classes by expression, letters by translate, joined letters by replace, NFC."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if c != 0xFF0D)
+    out = f"regexp_replace({column}, '{SQL_HYPHENS}', '-', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '{SQL_NOTHING}', '', 'g'), '{SQL_SPACES}', ' ', 'g')"
+    narrow = "".join(chr(ord(c) - 0xFEE0) for c in wide).replace("'", "''")
+    for letters, latin in {wide: narrow, "｟｠￠￡￢￣￤￥￦": "⦅⦆¢£¬¯¦¥₩"}.items():
+        out = f"translate({out}, '{letters}', '{latin}')"
+    out = f"nfc_normalize({out})"
+    for letters, latin in SQL_LETTERS.items():
+        out = f"translate({out}, '{letters}', '{latin}')"
+    for pair in SQL_JOINED.split(", "):
+        joined, parts = pair.split()
+        out = f"replace({out}, '{joined}', '{parts}')"
+    return f"nfc_normalize({out})"
 
 
 def oracle_sql() -> dict[str, str]:

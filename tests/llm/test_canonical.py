@@ -63,6 +63,51 @@ def test_pairs(spark, rows):
     assert rows(same_look_pairs(df, "doc_id", "text")) == sorted([(1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (7, 9), (8, 9), (11, 12)], key=str)
 
 
+def test_copies_are_not_paired_with_each_other(spark):
+    """Joins of n copies and a variant make n rows, not n^2."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 17, "thе case").otherwise("the case").alias("text"))
+    pairs = same_look_pairs(df, "doc_id", "text")
+    assert pairs.count() == 39_999 and pairs.filter("doc_id_a = 17 OR doc_id_b = 17").count() == 39_999
+    made = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.endswith("Join"):
+            made.append(node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    pairs.collect()
+    walk(pairs._jdf.queryExecution().executedPlan())
+    assert len(made) >= 3 and max(made) == 39_999
+
+
+def test_sql_twin_knows_the_same_letters(spark):
+    """The SQL has lists of its own; both must give one form to every character that either of them changes."""
+    duckdb = pytest.importorskip("duckdb")
+    from arcweave.llm.canonical import LOOK_ALIKES, fold_table
+    from arcweave.llm.queries import SQL_LETTERS, _sql_text
+
+    chars = {chr(c) for c in fold_table() if c < 0x3000 or c > 0xFE00} | set("".join(SQL_LETTERS)) | set(LOOK_ALIKES) | {a for a, _ in SAME} | {a for a, _ in OTHER}
+    skipped = {chr(c) for c, to in fold_table().items() if len(to) > 1} - set("ﬀﬁﬂﬃﬄﬅﬆĳĲǄǅǆǇǈǉǊǋǌǱǲǳ")  # rare joined letters
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(c,) for c in sorted(chars - skipped)])
+    wrong = [(hex(ord(x[0])), x, got, FORM(x)) for x, got in con.execute(f"SELECT x, {_sql_text('x')} FROM t").fetchall() if got != FORM(x)]
+    assert [w for w in wrong if not "\U0001bca0" <= w[1][0] <= "\U0001d17a"] == []  # shorthand and music format characters
+
+
+@pytest.mark.parametrize("letters", ["ρνιαυ", "ՍՏԼ", "ⲟⲣⲥ", "ꓮꓰ", "ѵԌ"])
+def test_look_alikes_of_every_script(letters):
+    assert FORM(letters).isascii()
+
+
 def test_classes(spark, rows):
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
     got = rows(class_members(df, "doc_id", "text"))
