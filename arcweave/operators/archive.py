@@ -10,11 +10,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.common import materialize, pick, scratch_path
+from arcweave.common import materialize, pick, release, scratch_path
+from arcweave.operators.structural_parse import COMMA, CR, LF, Numbers, slices
 
 #: Bytes of a block; a file is never split over blocks, one larger than this gets a block of its own.
 BLOCK_BYTES = 32 << 20
@@ -126,19 +128,63 @@ def _files(ids: list, paths: list, bodies: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["file_id", "path", "body"])
 
 
-#: An adjacency record: four integers; spaces and zeros in front and spaces behind do not matter.
-RECORD = r"^ *([+-]?[0-9]+) *, *([+-]?[0-9]+) *, *([+-]?[0-9]+) *, *([+-]?[0-9]+) *\z"
+#: Bytes of bodies that are searched for records at once.
+PARSE_BYTES = 2 << 20
 
+_RECORD = "file_id long, line_no long, pos long, arr_index long, arr_value long, ts int"
 
-def adjacency_records(files: DataFrame) -> DataFrame:
-    """The records in the bodies of ``files`` (file_id, path, body): (file_id, line_no, pos, arr_index, arr_value, ts).
 
-    Lines end with LF, CR or CRLF; lines that are no record, or whose numbers leave 64 (ts: 32) bits, are left out.
+def _records_in(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(number of the body, line number in it, [pos, arr_index, arr_value, ts]) of all records in some bodies.
+
+    Line ends and commas are located over the bytes of all bodies at once; a line with three commas whose four fields
+    are integers is a record.
+    """
+    data = np.frombuffer(b"\n".join([*bodies, b""]), dtype=np.uint8)
+    feed = data == LF
+    after_cr = np.concatenate([[False], data[:-1] == CR])
+    ends = np.flatnonzero(feed | np.concatenate([after_cr[1:] & ~feed[1:], [False]]))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    commas = np.flatnonzero(data == COMMA)
+    of_line = np.searchsorted(ends, commas)
+    lines = np.flatnonzero(np.bincount(of_line, minlength=len(ends)) == 3)
+    inner = commas[np.isin(of_line, lines)].reshape(len(lines), 3)
+    close = ends[lines] - (feed[ends[lines]] & after_cr[ends[lines]])
+    bounds = np.concatenate([starts[lines][:, None] - 1, inner, close[:, None]], axis=1)
+    numbers, good, values = Numbers(data), np.ones(len(lines), dtype=bool), []
+    for k, bits in enumerate((64, 64, 64, 32)):
+        ok, value = numbers.parse(bounds[:, k] + 1, bounds[:, k + 1], bits)
+        good &= ok
+        values.append(value)
+    begins = np.cumsum([0, *(len(b) + 1 for b in bodies)])[:-1]
+    lines = lines[good]
+    body = np.searchsorted(begins, starts[lines], side="right") - 1
+    return body, lines - np.searchsorted(starts, begins)[body], [v[good] for v in values]
+
+
+def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of (file_id, path, body) batches."""
+    for whole in batches:
+        for b in slices(whole, 2, PARSE_BYTES):
+            there = b.filter(b.column(2).is_valid())
+            if not there.num_rows:
+                continue
+            body, line, values = _records_in(there.column(2).to_pylist())
+            columns = [there.column(0).take(pa.array(body)), pa.array(line, pa.int64()), *(pa.array(v, pa.int64()) for v in values[:3]), pa.array(values[3].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_id", "line_no", "pos", "arr_index", "arr_value", "ts"])
+
+
+def adjacency_records(files: DataFrame | Archive) -> DataFrame:
+    """The records in the bodies of ``files`` (file_id, path, body) or of an archive: (file_id, line_no, pos, arr_index,
+    arr_value, ts).
+
+    A record is a line of four comma-separated integers, each with an optional sign; spaces and zeros in front and
+    spaces behind do not matter. Lines end with LF, CR or CRLF; lines that are no record, or whose numbers leave 64
+    (ts: 32) bits, are left out. From an archive the bodies go straight from the blocks into the parser.
     """
-    lines = files.select("file_id", F.posexplode(F.split(F.col("body").cast("string"), "\r\n|\r|\n")).alias("line_no", "line"))
-    part = lambda i, kind: F.regexp_extract("line", RECORD, i).try_cast(kind)
-    parsed = lines.filter(F.col("line").rlike(RECORD)).select("file_id", "line_no", part(1, "long").alias("pos"), part(2, "long").alias("arr_index"), part(3, "long").alias("arr_value"), part(4, "int").alias("ts"))
-    return parsed.filter("pos IS NOT NULL AND arr_index IS NOT NULL AND arr_value IS NOT NULL AND ts IS NOT NULL")
+    if isinstance(files, Archive):
+        return files.blocks().select("data", "entries").mapInArrow(lambda batches: _parse_records(_unpack(batches)), _RECORD)
+    return files.select("file_id", "path", F.col("body").cast("binary").alias("body")).mapInArrow(_parse_records, _RECORD)
 
 
 def surplus_copies(records: DataFrame) -> DataFrame:

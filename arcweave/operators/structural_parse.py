@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 from arcweave.common import by_position, position
 from arcweave.functions.types import bool_column
 
-QUOTE, COMMA, CR, SPACE, ZERO = 34, 44, 13, 32, 48
+QUOTE, COMMA, CR, LF, SPACE, PLUS, MINUS, ZERO = 34, 44, 13, 10, 32, 43, 45, 48
+
+
+#: Bytes of lines that are indexed at once.
+INDEX_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -63,6 +67,39 @@ _DIGIT = _table(b"0123456789")
 _ALNUM = _table(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
+class Numbers:
+    """Decimal integers between given positions of a byte array, all at once."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = np.concatenate([data, np.zeros(1, np.uint8)])
+        self.solid = np.flatnonzero(self.data != SPACE)  # the last one is the byte behind the data
+        self.strange = np.flatnonzero(~_DIGIT[self.data])
+        self.significant = np.flatnonzero(self.data != ZERO)
+
+    def parse(self, lo: np.ndarray, hi: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """(usable, value) of the fields [lo, hi): without spaces around, an optional sign and digits, in the range of
+        ``bits`` (64 at most); the value is 0 where a field isn't usable."""
+        data = self.data
+        lo = np.minimum(self.solid[np.searchsorted(self.solid, lo)], hi)
+        last = self.solid[np.searchsorted(self.solid, hi) - 1]  # -1: nothing solid before, the field is empty then
+        hi = np.where(lo < hi, last + 1, hi)
+        sign = data[lo]
+        negative = (lo < hi) & (sign == MINUS)
+        lo = lo + ((lo < hi) & (negative | (sign == PLUS)))
+        ok = (hi > lo) & (self.strange[np.searchsorted(self.strange, lo)] >= hi)
+        lo = np.where(ok, np.minimum(self.significant[np.searchsorted(self.significant, lo)], hi), hi)
+        half = 1 << (bits - 1)
+        most = len(str(half))
+        ok &= hi - lo <= most
+        size = np.zeros(len(lo), dtype=np.uint64)  # 19 digits fit
+        for k in range(min(most, int((hi - lo)[ok].max(initial=0))), 0, -1):
+            at = hi - k
+            size = size * np.uint64(10) + np.where(ok & (at >= lo), data[np.maximum(at, 0)] - ZERO, 0).astype(np.uint64)
+        ok &= size <= np.where(negative, np.uint64(half), np.uint64(half - 1))
+        value = size.astype(np.int64)  # of -2^63 the bits are right already, and negation keeps them
+        return ok, np.where(ok, np.where(negative, -value, value), 0)
+
+
 class Index:
     """Structural index of a batch of records."""
 
@@ -76,7 +113,7 @@ class Index:
         start, end = offs[:-1], offs[1:].copy()
         if len(data):
             end -= (end > start) & (data[np.maximum(end, 1) - 1] == CR)
-        self.data, self.n = data, n
+        self.data, self.n, self.numbers = data, n, None
         # quotes: rank inside the record, and what must stand beside an opening or closing one
         padded = np.concatenate([data, np.zeros(1, np.uint8)])
         is_quote = data == QUOTE
@@ -114,34 +151,8 @@ class Index:
 
     def integers(self, c: IntCheck) -> tuple[np.ndarray, np.ndarray]:
         """(usable, value) of an integer field; the value is 0 where it isn't usable."""
-        lo, hi = self.lo[:, c.at].copy(), self.hi[:, c.at].copy()
-        data = self.data
-        other = np.flatnonzero(data != SPACE)
-        first = np.searchsorted(other, lo)
-        last = np.searchsorted(other, hi) - 1
-        full = last >= first
-        lo[full], hi[full] = other[first[full]], other[last[full]] + 1
-        hi[~full] = lo[~full]
-        padded = np.concatenate([data, np.zeros(1, np.uint8)])
-        sign = padded[np.minimum(lo, len(data))]
-        negative = full & (sign == ord("-"))
-        lo = lo + (full & ((sign == ord("+")) | negative))
-        strange = np.concatenate([[0], np.cumsum(~_DIGIT[data])])
-        ok = (hi > lo) & (strange[np.minimum(hi, len(data))] == strange[np.minimum(lo, len(data))])
-        nonzero = np.flatnonzero(data != ZERO)
-        at = np.searchsorted(nonzero, lo)
-        significant = np.where(at < len(nonzero), nonzero[np.minimum(at, max(len(nonzero) - 1, 0))] if len(nonzero) else hi, hi)
-        lo = np.where(ok, np.minimum(significant, hi), lo)
-        half = 1 << (c.bits - 1)
-        most = len(str(half))
-        ok &= hi - lo <= most
-        size = np.zeros(len(lo), dtype=np.uint64)  # 19 digits fit
-        for k in range(most):
-            more = ok & (lo + k < hi)
-            size[more] = size[more] * np.uint64(10) + (data[lo[more] + k] - ZERO)
-        ok &= size <= np.where(negative, np.uint64(half), np.uint64(half - 1))
-        value = size.astype(np.int64)  # of -2^63 the bits are right already, and negation keeps them
-        return ok, np.where(ok, np.where(negative, -value, value), 0)
+        self.numbers = self.numbers or Numbers(self.data)
+        return self.numbers.parse(self.lo[:, c.at], self.hi[:, c.at], c.bits)
 
     def texts(self, field: int, which: np.ndarray) -> pa.Array:
         """The field's text in the sound records ``which``; an empty field without quotes is null."""
@@ -157,9 +168,20 @@ class Index:
         return out.cast(pa.string())
 
 
+def slices(b: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """``b`` in slices whose texts (or bytes) of ``column`` come to about ``size`` bytes; a longer one gets its own slice."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < b.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield b.slice(begin, end - begin)
+        begin = end
+
+
 def _splitter(spec: RecordSpec, key_columns: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, key_columns, INDEX_BYTES)):
             x = Index(b.column(key_columns), spec.fields)
             reason = np.full(x.n, None, dtype=object)
             reason[x.arity != spec.fields] = "columns"
@@ -186,7 +208,8 @@ def split_records(df: DataFrame, line: str, keys: Sequence[str], spec: RecordSpe
 
     f0... hold the fields of a valid record, unquoted, and are null in a reject. Reasons, first one that applies:
     ``quoting``, ``columns``, then the checks of ``spec``. One carriage return at the very end is not part of the
-    record. The operator is a narrow map: no shuffle, no limit on the length of a line.
+    record. The operator is a narrow map: no shuffle, no limit on the length of a line. A task indexes about
+    ``INDEX_BYTES`` at once, as the index takes some tens of bytes for each byte of input.
 
     Defined cases: a null line and an empty one have too few fields (``columns``); an empty field without quotes is
     null, ``""`` is the empty string; repeated rows come out as often as they go in; further columns are ignored.
@@ -207,7 +230,7 @@ FILE_BLOCK = 8 << 20
 
 def record_ends(data: np.ndarray, quotes_before: int = 0) -> np.ndarray:
     """Positions of the line feeds that end a record: those before which the number of quotes is even."""
-    feeds = np.flatnonzero(data == 10)
+    feeds = np.flatnonzero(data == LF)
     quotes = np.concatenate([[0], np.cumsum(data == QUOTE)])
     return feeds[(quotes[feeds] + quotes_before) % 2 == 0]
 

@@ -80,7 +80,7 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _archived_records(spark: SparkSession, sf: str) -> DataFrame:
-    return adjacency_records(packed_archive(_table(spark, sf, "chunk_file")).files())
+    return adjacency_records(packed_archive(_table(spark, sf, "chunk_file")))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

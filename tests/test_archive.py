@@ -1,6 +1,9 @@
+import random
+import re
+
 import pytest
 
-from arcweave.operators.archive import Archive, adjacency_records, consolidated, pack, surplus_copies, write_consolidated
+from arcweave.operators.archive import Archive, _records_in, adjacency_records, consolidated, pack, surplus_copies, write_consolidated
 
 SCHEMA = "file_id long, file_name string, hid int, body string"
 BODIES = [
@@ -56,6 +59,33 @@ def test_records(spark, rows, tmp_path):
     assert 1 < len(list((tmp_path / "out").glob("*.parquet"))) <= 5
 
 
+def plain_records(bodies):
+    number = r" *([+-]?[0-9]+) *"
+    for k, body in enumerate(bodies):
+        for n, line in enumerate(re.split("\r\n|\r|\n", body)):
+            if m := re.fullmatch(",".join([number] * 4), line):
+                v = [int(x) for x in m.groups()]
+                if all(-(2**63) <= x < 2**63 for x in v[:3]) and -(2**31) <= v[3] < 2**31:
+                    yield (k, n, *v)
+
+
+def test_records_against_a_plain_parser():
+    rng = random.Random(8)
+    parts = ["1", "0", "-", "+", " ", ",", ",", "\n", "\r", "\r\n", "12", "x", '"1"', "\t", "99999999999", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "2147483647", "-2147483649", "000"]
+    for _ in range(60):
+        bodies = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 200))) for _ in range(rng.randint(1, 6))]
+        line = lambda: ",".join(rng.choice([" 1", "-5 ", "+07", "x", "9223372036854775807", "2147483648", "", "- 1"]) if rng.random() < 0.2 else str(rng.randint(-99, 99)) for _ in range(rng.choice([3, 4, 4, 4, 4, 5])))
+        bodies += [rng.choice(["\n", "\r", "\r\n"]).join(line() for _ in range(rng.randint(0, 30))) + rng.choice(["", "\n", "\r"]) for _ in range(4)]
+        body, number, values = _records_in([b.encode() for b in bodies])
+        assert list(zip(body.tolist(), number.tolist(), *(v.tolist() for v in values))) == list(plain_records(bodies))
+
+
+def test_records_from_blocks_and_from_files(spark, rows):
+    made = Archive.write(pack(spark.createDataFrame(BODIES, SCHEMA), "file_id", "file_name", "body", 64))
+    assert rows(adjacency_records(made)) == rows(adjacency_records(made.files()))
+    assert adjacency_records(made).count() == 10
+
+
 def pack_and_read(spark, bodies):
     return Archive.write(pack(spark.createDataFrame(bodies, SCHEMA), "file_id", "file_name", "body")).files()
 
