@@ -7,7 +7,6 @@ order with their counts added up, and each range keeps a heap of bounded size.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 from collections.abc import Iterator, Sequence
 
@@ -16,12 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcweave.common import by_position, materialize, position, run_starts, shuffle_width
-
-#: Values drawn from the input for each range in order to place the range bounds. The bounds decide only which task
-#: counts a value; all values are counted.
-SAMPLES_PER_RANGE = 60
-
+from arcweave.common import by_position, materialize, position, release, run_starts, shuffle_width
 
 def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (slot, value, cnt) rows with equal (slot, value) combined; holds one batch and one open run."""
@@ -97,18 +91,18 @@ def _bounded_heaps(k: int):
 
 
 class _Reverse:
-    """Orders values downwards, so that the heap gives up the larger of two equally frequent values."""
+    """Orders values downwards, so that the heap gives up the larger of two equally frequent values. NaN is the largest."""
 
-    __slots__ = ("value",)
+    __slots__ = ("key", "value")
 
     def __init__(self, value):
-        self.value = value
+        self.key, self.value = (value != value, value), value
 
     def __lt__(self, other):
-        return self.value > other.value
+        return self.key > other.key
 
     def __eq__(self, other):
-        return self.value == other.value
+        return self.key == other.key
 
 
 def frequent_values(df: DataFrame, columns: Sequence[str], k: int, ranges: int | None = None) -> DataFrame:
@@ -119,10 +113,11 @@ def frequent_values(df: DataFrame, columns: Sequence[str], k: int, ranges: int |
 
     Memory: a task holds one Arrow batch, one open run and ``k`` heap entries a column, whatever the number of
     distinct values; sorting spills. Skew: a value with a third of all rows reaches its range as one pair from each
-    input task. The range bounds come from a bounded sample (``SAMPLES_PER_RANGE`` a range).
+    input task. Spark places the range bounds by a bounded sample of the runs; they decide only which task counts a
+    value, and all values are counted.
 
     Defined cases: nulls are counted in ``n_rows`` only; an empty table or a column of nulls gives no rows; empty
-    strings are values; further columns of ``df`` are ignored.
+    strings are values; NaN is one value, larger than all numbers, and -0.0 is 0.0; further columns of ``df`` are ignored.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -133,13 +128,15 @@ def frequent_values(df: DataFrame, columns: Sequence[str], k: int, ranges: int |
         raise ValueError(f"columns of different types: {sorted(kinds)}")
     kind = kinds.pop()
     ranges = ranges or shuffle_width(spark)
-    long = plain.select(F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"c{i}").alias("value")) for s, i in enumerate(at)])).alias("e")).select("e.slot", "e.value")
+    value = lambda i: F.col(f"c{i}") + F.lit(0).cast(kind) if kind in ("float", "double") else F.col(f"c{i}")  # noqa: E731  no -0.0
+    long = plain.select(F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), value(i).alias("value")) for s, i in enumerate(at)])).alias("e")).select("e.slot", "e.value")
     runs = materialize(
         long.select("slot", "value", F.lit(1).cast("long").alias("cnt")).sortWithinPartitions("slot", "value").mapInArrow(_run_lengths, f"slot int, value {kind}, cnt long"),
         "runs",
     )
-    merged = _by_range(runs, ranges).sortWithinPartitions("slot", "value").mapInArrow(_bounded_heaps(k), f"slot int, value {kind}, cnt long, total long")
+    merged = runs.repartitionByRange(ranges, "slot", "value").sortWithinPartitions("slot", "value").mapInArrow(_bounded_heaps(k), f"slot int, value {kind}, cnt long, total long")
     each = materialize(merged, "heaps")
+    release(runs)
     rows = each.groupBy("slot").agg(F.sum("total").alias("n_rows"))
     best = (
         each.filter(F.col("cnt").isNotNull())
@@ -149,27 +146,3 @@ def frequent_values(df: DataFrame, columns: Sequence[str], k: int, ranges: int |
     )
     names = F.create_map(*[x for s, c in enumerate(columns) for x in (F.lit(s), F.lit(c))])
     return best.select(names[F.col("slot")].alias("column"), "value", "cnt", "n_rows")
-
-
-def _by_range(runs: DataFrame, ranges: int) -> DataFrame:
-    """``runs`` partitioned by ranges of (slot, value), with bounds from a sample of bounded size."""
-    spark = runs.sparkSession
-    wanted = ranges * SAMPLES_PER_RANGE
-    n = runs.count()
-    if n == 0 or ranges == 1:
-        return runs.coalesce(1) if n == 0 else runs.repartition(1)
-    drawn = runs if n <= wanted else runs.sample(min(1.0, 1.2 * wanted / n), seed=7)
-    seen = [(r.slot, r.value is not None, r.value) for r in drawn.select("slot", "value").limit(2 * wanted).collect()]
-    seen.sort(key=lambda r: (r[0], r[1], r[2]) if r[1] else (r[0], r[1]))
-    bounds = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
-    bounds = [b[:2] if not b[1] else b for b in bounds]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            at = [bisect.bisect_right(bounds, (s, False) if v is None else (s, True, v)) for s, v in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *b.columns], names=["rid", "slot", "value", "cnt"])
-
-    kind = runs.schema["value"].dataType.simpleString()
-    placed = runs.mapInArrow(place, f"rid int, slot int, value {kind}, cnt long")
-    return placed.repartitionById(ranges, F.col("rid")).select("slot", "value", "cnt")

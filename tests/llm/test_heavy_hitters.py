@@ -43,3 +43,17 @@ def test_numbers_nulls_and_empty(spark, rows):
         frequent_values(both, ["cnt", "total"], 1)
     with pytest.raises(ValueError):
         frequent_values(both, ["cnt"], 0)
+
+
+def test_nan_is_one_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(x,) for x in [nan, nan, nan, 1.0, 1.0, -0.0, 0.0, 2.0, None, float("inf")]], "x double").repartition(4)
+    got = [(str(r.value), r.cnt, r.n_rows) for r in frequent_values(df, ["x"], 10, 3).collect()]
+    assert sorted(got) == sorted([("nan", 3, 10), ("1.0", 2, 10), ("0.0", 2, 10), ("2.0", 1, 10), ("inf", 1, 10)])
+    tied = spark.createDataFrame([(nan,), (5.0,), (7.0,)], "x double")
+    assert sorted(r.value for r in frequent_values(tied, ["x"], 2, 1).collect()) == [5.0, 7.0]
+
+
+def test_hot_value(spark, rows):
+    df = spark.createDataFrame([("hot",)] * 5000 + [(f"v{i}",) for i in range(50)], "x string").repartition(8)
+    assert rows(frequent_values(df, ["x"], 3, 4).select("value", "cnt")) == [("hot", 5000), ("v0", 1), ("v1", 1)]
