@@ -4,7 +4,7 @@ A chromosome is a packing (a set of bins). Crossover injects well-filled bins of
 bins of the other that hold one of the injected items, and best-fits the items so displaced. Islands evolve the same
 items from different starts; between epochs each takes over the best packing of its neighbour.
 
-Scale: items are cut into shards of at most ``SHARD_ITEMS``, in the tasks that count the tokens and without a
+Scale: items are cut into shards of at most ``shard_items``, in the tasks that count the tokens and without a
 shuffle; every (shard, island) is one small row of sizes. What a shard could not fill well goes to a second level,
 where the rests of many shards are packed together by the same algorithm.
 """
@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.common import materialize, pick, shuffle_width
+from arcweave.common import materialize, pick, release, shuffle_width
 
 #: Vocabulary file of the public tokenizer whose tokens are counted (byte-level BPE, 50,256 ranks).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,6 +31,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Islands that one task evolves at most, one after the other.
+ROWS_PER_TASK = 64
 #: Characters of a text from which its tokens are counted part by part.
 LONG_TEXT = 1 << 20
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -177,8 +180,15 @@ class TokenCounter:
 
     _made: dict = {}
 
-    def __init__(self, path: str = TOKENIZER):
-        self.path = path
+    def __init__(self, path: str = TOKENIZER, shared: Broadcast | None = None):
+        """``shared``: the bytes of the vocabulary file, for tasks on machines that don't have it."""
+        self.path, self.shared = path, shared
+
+    def _vocabulary(self) -> bytes:
+        if self.shared is not None:
+            return self.shared.value
+        with open(self.path, "rb") as f:
+            return f.read()
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -187,8 +197,7 @@ class TokenCounter:
         if enc is None:
             import tiktoken
 
-            with open(self.path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self._vocabulary().splitlines())}
             enc = self._made[self.path] = tiktoken.Encoding("arcweave", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         n, done = 0, 0
         while len(text) - done > LONG_TEXT and (cut := _CUT.search(text, done + LONG_TEXT)):
@@ -249,9 +258,9 @@ def _island(capacity: int, how: Evolution, epoch: int):
         """Evolves each (shard, island) of the batch from the elites that reached it."""
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            for shard, island, sizes, elites in zip(*(c.to_pylist() for c in b.columns)):
-                s = np.array(sizes, dtype=np.int64)
-                start = [_compact(np.frombuffer(e, dtype=np.int32), s) for e in sorted(elites or [])]
+            for shard, island, sizes, elites in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                s = sizes.values.to_numpy().astype(np.int64)
+                start = [_compact(np.frombuffer(e, dtype=np.int32), s) for e in sorted(elites.as_py() or [])]
                 rng = np.random.default_rng([how.seed, epoch, island, shard & 0xFFFFFFFF, shard >> 32])
                 best = evolve(s, capacity, start, rng, how)[0]
                 for column, v in zip(out, (shard, island, len(best.loads), best.fitness(capacity), best.bin_of.tobytes())):
@@ -261,20 +270,34 @@ def _island(capacity: int, how: Evolution, epoch: int):
     return run
 
 
+def _spread(width: int, islands: int):
+    """The task of each (shard, island): one after the other, so that as many tasks work as there are rows."""
+    number = F.shiftright("shard", 32) + F.col("shard").bitwiseAND(F.lit(0xFFFFFFFF)) - 1
+    return F.pmod(number * islands + F.col("island"), F.lit(width)).cast("int")
+
+
 def _best_packings(shards: DataFrame, capacity: int, how: Evolution) -> DataFrame:
-    """(shard, ids, starts, sizes, packing): the best packing that any island found for each shard."""
-    spark = shards.sparkSession
-    width = shuffle_width(spark)
+    """(shard, ids, starts, sizes, packing): the best packing that any island found for each shard.
+
+    Every epoch places its rows by number. A repartition by (shard, island) would be left out as superfluous after the
+    join of the elites on the same columns, and the few bytes of the join's partitions would then be put together into
+    one task, whatever work they stand for.
+    """
+    rows = shards.count() * how.islands  # the count is read from file footers
+    width = max(shuffle_width(shards.sparkSession), -(-rows // ROWS_PER_TASK))
     elites = None
     for epoch in range(how.epochs):
         seeds = shards.select("shard", "sizes").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(how.islands - 1))))
-        if elites is None:
+        before = elites
+        if before is None:
             seeds = seeds.withColumn("elites", F.lit(None).cast("array<binary>"))
         else:  # every island keeps its own elite and gets that of the island before it
-            reach = elites.select("shard", "packing", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(how.islands)))).alias("island"))
+            reach = before.select("shard", "packing", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(how.islands)))).alias("island"))
             seeds = seeds.join(reach.groupBy("shard", "island").agg(F.collect_set("packing").alias("elites")), ["shard", "island"], "left")
-        work = seeds.select("shard", "island", "sizes", "elites").repartition(width, "shard", "island")
+        work = seeds.select("shard", "island", "sizes", "elites").repartitionById(width, _spread(width, how.islands))
         elites = materialize(work.mapInArrow(_island(capacity, how, epoch), _ELITE), f"elites-{epoch}")
+        if before is not None:
+            release(before)
     best = elites.groupBy("shard").agg(F.min(F.struct("bins", F.negative("fitness").alias("f"), "island", "packing")).alias("b")).select("shard", "b.packing")
     return shards.join(best, "shard")
 
@@ -313,7 +336,10 @@ def pack_texts(df: DataFrame, key: str, text: str, capacity: int = 4096, tokeniz
     kind = src.schema["k"].dataType.simpleString()
     made = f"shard long, whole boolean, ids array<{kind}>, starts array<long>, sizes array<int>"
     rows = f"shard long, bin int, key {kind}, start long, size int, weak boolean"
-    counted = src.select(F.spark_partition_id().cast("long").alias("p"), "k", "t").mapInArrow(_shards(capacity, how, TokenCounter(tokenizer)), made)
+    with open(tokenizer, "rb") as f:
+        vocabulary = f.read()  # a few hundred KB
+    counter = TokenCounter(tokenizer, src.sparkSession.sparkContext.broadcast(vocabulary))
+    counted = src.select(F.spark_partition_id().cast("long").alias("p"), "k", "t").mapInArrow(_shards(capacity, how, counter), made)
     shards = materialize(counted, "shards")
     room = int(refill * capacity)
     pieces = shards.filter("whole").select("shard", F.posexplode(F.arrays_zip("ids", "starts", "sizes")).alias("bin", "z"))
@@ -324,8 +350,8 @@ def pack_texts(df: DataFrame, key: str, text: str, capacity: int = 4096, tokeniz
     # about one rest of a few items a shard: put together by as few tasks as hold a shard each
     n = rest.count()
     joined = rest.repartition(max(1, -(-n // how.shard_items))).select(F.spark_partition_id().cast("long").alias("p"), "key", "start", "size")
-    again = materialize(joined.mapInArrow(_shards(capacity, how, None), made), "rests").drop("whole")
-    level_2 = _best_packings(again, capacity, how).select("shard", "ids", "starts", "sizes", "packing").mapInArrow(_decode(capacity, room), rows)
+    again = materialize(joined.mapInArrow(_shards(capacity, how, None), made), "rests")
+    level_2 = _best_packings(again.drop("whole"), capacity, how).select("shard", "ids", "starts", "sizes", "packing").mapInArrow(_decode(capacity, room), rows)
     name = lambda level: F.concat_ws(".", F.lit(level), "shard", "bin").alias("container_id")
     out = level_0.unionByName(level_1.filter("NOT weak").select(name("a"), "key", "start", "size")).unionByName(level_2.select(name("b"), "key", "start", "size"))
     return out.select("container_id", F.col("key").alias(key), F.col("start").alias("token_start"), F.col("size").alias("n_tokens"))

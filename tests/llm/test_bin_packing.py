@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arcweave.llm.bin_packing import Evolution, Packing, TokenCounter, best_fit, crossover, evolve, first_packing, pack_texts
 
@@ -118,6 +119,42 @@ def test_exact_capacity_empty_and_one(spark):
         run(spark, [(1, "x")], 0)
 
 
+def test_every_epoch_runs_in_many_tasks(spark, monkeypatch):
+    """Also behind the join of the elites, whose partitions are put together where they are small."""
+    from pathlib import Path
+
+    from arcweave.llm import bin_packing
+
+    written = {}
+    kept = bin_packing.materialize
+
+    def materialize(df, label):
+        made = kept(df, label)
+        written.setdefault(label, []).append(len([f for f in made.inputFiles() if Path(f.removeprefix("file://")).stat().st_size]))
+        return made
+
+    monkeypatch.setattr(bin_packing, "materialize", materialize)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(480).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") * 37 % 50).cast("int")).alias("text")).repartition(8)
+        pack_texts(df, "doc_id", "text", 128, how=Evolution(shard_items=60, islands=2, epochs=3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [written[f"elites-{e}"][0] for e in range(3)] == [4, 4, 4]  # as many as the session's shuffle partitions
+
+
+def test_the_vocabulary_is_read_on_the_driver_only(spark, tmp_path):
+    import shutil
+
+    from arcweave.llm.bin_packing import TOKENIZER
+
+    at = tmp_path / "ranks.tiktoken"
+    shutil.copy(TOKENIZER, at)
+    packed = pack_texts(spark.createDataFrame([(1, "one two three")], "doc_id long, text string"), "doc_id", "text", 16, tokenizer=str(at), how=SMALL)
+    at.unlink()
+    assert packed.select("n_tokens").first()[0] == COUNT("one two three")
+
+
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", 5, "k")], "doc_id long, text string, shard long, container_id string")
     assert pack_texts(df, "doc_id", "text", 16, how=SMALL).select("doc_id", "n_tokens").first()[:] == (1, 2)
