@@ -1,10 +1,14 @@
 import random
+import time
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arcweave.llm.canonical import Canonical
-from arcweave.llm.leaks import _Hasher, _Windows, compare, find_leaks, masks, words_of
+from arcweave.llm import leaks
+from arcweave.llm.leaks import _Hasher, _Sieve, _Windows, compare, find_leaks, masks, words_of
 
 FORM = Canonical()
 
@@ -160,3 +164,85 @@ def test_odd_inputs(spark, rows, limit):
     assert find_leaks(d.filter("false"), "id", "t", t, "i", "t", broadcast_seeds=limit).count() == 0
     with pytest.raises(ValueError):
         find_leaks(d, "id", "t", t, "i", "t", 0)
+
+
+def plain_compare(doc, item, allowed, least):
+    """All diagonals, span by span."""
+    best, exact = (0, 0, 0, 0), 0
+    for d in range(1 - len(item), len(doc)):
+        equal = [0 <= d + i < len(doc) and doc[d + i] == item[i] for i in range(len(item))]
+        spans = [(j + 1 - i, -sum(not e for e in equal[i : j + 1]), -(d + i), -i) for i in range(len(item)) if equal[i] for j in range(i, len(item)) if equal[j]]
+        spans = [s for s in spans if -s[1] <= allowed]
+        if spans and max(spans)[0] >= least:
+            best = max(best, max(spans))
+            exact = max(exact, max(s[0] for s in spans if not s[1]))
+    return exact, best[0], *(-x for x in best[1:])
+
+
+def test_comparison_against_a_plain_one(monkeypatch):
+    rng = random.Random(9)
+    for cells in (1, 50, 1 << 22):
+        monkeypatch.setattr(leaks, "CELLS", cells)
+        for _ in range(150):
+            doc, item = ([rng.choice("abc") for _ in range(rng.randint(0, 25))] for _ in range(2))
+            allowed, least = rng.randint(0, 3), rng.randint(0, 6)
+            diagonals = set(range(1 - len(item), len(doc)))
+            assert compare(doc, item, diagonals, allowed, least) == plain_compare(doc, item, allowed, least), (doc, item)
+
+
+@pytest.mark.parametrize("length", [12, 14, 18, 24])
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_recall_of_exchanged_words(spark, length, limit):
+    """Every placement of up to two exchanged words inside a passage, found or not."""
+    wanted = [w for n in (0, 1, 2) for w in combinations(range(1, length - 1), n)]
+    items = [(k, " ".join(f"k{k}p{p}" for p in range(length))) for k in range(len(wanted))]
+    docs = [(k, "before " + " ".join("other" if p in w else f"k{k}p{p}" for p in range(length)) + " after") for k, w in enumerate(wanted)]
+    d, t = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(items, "i long, t string")
+    found = {(r.doc_id, r.item_id) for r in find_leaks(d, "id", "t", t, "i", "t", broadcast_seeds=limit).collect()}
+    assert found == {(k, k) for k in range(len(wanted))}
+
+
+@pytest.mark.parametrize("words", ["la", "la lo", "la lo li"])
+def test_repetitive_text(words):
+    windows = _Windows(12, FORM)
+    tests = leaks._Tests([" ".join([words] * (100 // len(words.split())))], windows)
+    doc = " ".join([words] * (32_000 // len(words.split())))
+    tests.windows.words([doc])  # tables that are made once
+    began = time.process_time()
+    found = list(tests.overlaps([doc], 2, 12))
+    assert time.process_time() - began < 2
+    n = len(words.split()) * (100 // len(words.split()))
+    assert found == [(0, 0, n, n, 0, 0, 0)]
+
+
+def test_sieve(spark):
+    rng = np.random.default_rng(1)
+    inside, other = (rng.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))
+    made = _Sieve.of(inside)
+    assert made(inside).all() and made(other).mean() < 0.02
+    df = spark.createDataFrame([(int(x),) for x in inside.view(np.int64)], "x long")
+    assert (_Sieve.collect(df, "x").bits == made.bits).all()
+    assert not _Sieve.collect(df.filter("false"), "x")(inside).any() and not _Sieve.of(inside[:0])(inside).any()
+    assert _Sieve.size(10**12) == 1 << leaks.SIEVE_BITS[1]
+
+
+def test_only_seeds_and_texts_with_a_hit_are_shuffled(spark, monkeypatch):
+    """Beyond the broadcast bound: 3,000 texts, of which 3 hold the passage, two of these as copies."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    d = spark.range(3000).select("id", F.when(F.col("id").isin(5, 6), passage).when(F.col("id") == 7, F.concat(F.lit("more "), F.lit(passage))).otherwise(F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(40)])).alias("t"))
+    t = spark.createDataFrame([(1, passage)], "i long, t string")
+    kept, tables = leaks.materialize, {}
+
+    def materialize(df, label):
+        tables[label] = kept(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(leaks, "materialize", materialize)
+    assert sorted(r.doc_id for r in find_leaks(d, "id", "t", t, "i", "t", broadcast_seeds=0).collect()) == [5, 6, 7]
+    assert sorted(r.k for r in tables["leak-docs"].collect()) == [5, 6, 7] and tables["leak-hits"].count() == 2
+    plan = tables["leak-docs"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    # the corpus side of the seed join: none of the other texts' windows
+    windows = _Windows(12, FORM)
+    pairs = leaks._Tests([passage], windows).pairs
+    assert all(len(h) == 0 for _, h, _, _ in windows([" ".join(f"w{i}x9" for i in range(40))], pairs))
