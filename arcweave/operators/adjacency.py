@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,18 @@ def both_directions(directed: DataFrame) -> DataFrame:
     return directed.select("src_id", "dst_id", "ts").unionByName(directed.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "ts"))
 
 
+def in_bucket_order(rows: DataFrame, key: str, order: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` with their ``bucket``, laid out for storage: ranges of (bucket, order) of equal size, each sorted.
+
+    As many ranges as the session has shuffle partitions: a large bucket, or a key with a third of all rows, is written by
+    many tasks."""
+    by = ["bucket", *order]
+    return rows.withColumn("bucket", bucket(F.col(key), buckets)).repartitionByRange(shuffle_width(rows.sparkSession), *by).sortWithinPartitions(*by)
+
+
 def in_node_order(adjacency: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """The adjacency laid out for storage: one task per bucket range, rows by (src_id, ts, dst_id)."""
-    width = min(buckets, shuffle_width(adjacency.sparkSession))
-    by = ["bucket", "src_id", "ts", "dst_id"]
-    return adjacency.withColumn("bucket", bucket(F.col("src_id"), buckets)).repartitionByRange(width, *by).sortWithinPartitions(*by)
+    """The adjacency laid out for storage: rows of a bucket by (src_id, ts, dst_id)."""
+    return in_bucket_order(adjacency.select(*ADJACENCY), "src_id", ("src_id", "ts", "dst_id"), buckets)
 
 
 def degree(adjacency: DataFrame) -> DataFrame:
@@ -73,6 +80,7 @@ def csr_index(adjacency: DataFrame) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of each key the row with the largest ``order``; an aggregation with partial results, not a sort per key."""
+    """Of each key the row with the largest ``order``: an aggregation with partial results before the shuffle. As rows have
+    strings, Spark aggregates over sorted rows on either side; a key's rows are never held together."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(key, *[F.col(f"_r.`{c}`").alias(c) for c in rest])

@@ -21,6 +21,9 @@ from arcweave.operators.structural_parse import COMMA, CR, LF, Numbers, slices
 #: Bytes of a block; a file is never split over blocks, one larger than this gets a block of its own.
 BLOCK_BYTES = 32 << 20
 
+#: Blocks up to which a look-up names them in the scan.
+NAMED_BLOCKS = 1_000
+
 _BLOCK = "block_id long, n_files int, n_bytes long, data binary, entries array<struct<file_id:long,path:string,offset:long,length:long,crc:long>>"
 _ENTRY = pa.list_(pa.struct([("file_id", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())]))
 
@@ -67,6 +70,38 @@ def pack(df: DataFrame, file_id: str, path: str, body: str, block_bytes: int = B
     return rows.mapInArrow(_pack(block_bytes), _BLOCK)
 
 
+#: Bytes of files that one task packs, where a directory is read.
+TASK_BYTES = 128 << 20
+
+
+def pack_directory(spark: SparkSession, directory: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Container blocks of all files below a directory; their paths are kept, their ids are null.
+
+    The number of tasks follows the bytes, not the files: Spark reckons a file with 4 MB at least, so that millions of
+    tiny ones would make as many tasks with nearly empty blocks. Lengths come from the listing, no file is opened for them.
+    Empty files, which Spark's file sources leave out, are added from the listing by name.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    seen = found.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    files = found.select("path", "content").coalesce(max(1, -(-(seen["bytes"] or 0) // TASK_BYTES)))
+    if empty := _empty_files(found, seen["n"]):
+        files = files.unionByName(spark.createDataFrame([(p, b"") for p in empty], "path string, content binary").coalesce(1))
+    return pack(files.withColumn("file_id", F.lit(None).cast("long")), "file_id", "path", "content", block_bytes)
+
+
+def _empty_files(found: DataFrame, not_empty: int) -> list[str]:
+    """Paths of the files of length 0 in the driver's own listing of a file source, of which ``not_empty`` files have bytes."""
+    listed = found._jdf.queryExecution().analyzed().relation().location().allFiles()
+    if listed.size() == not_empty:
+        return []
+    out, each = [], listed.iterator()
+    while each.hasNext():
+        status = each.next()
+        if not status.getLen():
+            out.append(status.getPath().toString())
+    return out
+
+
 class Archive:
     """A written archive: ``blocks`` (the bytes) and ``index`` (one row per file) below one path."""
 
@@ -93,9 +128,14 @@ class Archive:
         return self.spark.read.schema("block_id long, file_id long, path string, offset long, length long, crc long").parquet(f"{self.path}/index")
 
     def lookup(self, path: str) -> DataFrame:
-        """The files of one path: (file_id, path, body); the blocks are found through the index."""
+        """The files of one path: (file_id, path, body). The index is asked first, in a small job: up to NAMED_BLOCKS blocks
+        are named in the filter of the scan, so that statistics leave out the others; only a path in more is joined."""
         hit = self.index().filter(F.col("path") == path)
-        part = self.blocks().select("block_id", "data").join(hit, "block_id")
+        part = self.blocks().select("block_id", "data")
+        few = [r[0] for r in hit.select("block_id").distinct().limit(NAMED_BLOCKS + 1).collect()]
+        if len(few) <= NAMED_BLOCKS:
+            part = part.filter(F.col("block_id").isin(sorted(few)))
+        part = part.join(hit, "block_id")
         body = F.when(F.col("length").isNotNull(), F.substring("data", (F.col("offset") + 1).cast("int"), F.col("length").cast("int")))
         crc_ok = F.col("crc").isNull() | (F.crc32("body") == F.col("crc"))
         checked = F.when(crc_ok, F.col("body")).otherwise(F.raise_error(F.concat(F.lit("checksum of "), "path"))).alias("body")
@@ -212,10 +252,12 @@ def write_consolidated(records: DataFrame, path: str, file_bytes: int = 256 << 2
     ``row_bytes`` is what a record takes when compressed.
     """
     once = materialize(consolidated(records), "once")
+    schema = once.schema
     files = max(1, -(-once.count() * row_bytes // file_bytes))
     by = ["arr_index", "ts", "pos"]
     once.repartitionByRange(files, *by).sortWithinPartitions(*by).write.option("compression", "zstd").parquet(path)
-    return records.sparkSession.read.schema(once.schema).parquet(path)
+    release(once)
+    return records.sparkSession.read.schema(schema).parquet(path)
 
 
 def packed_archive(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> Archive:

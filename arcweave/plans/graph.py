@@ -14,15 +14,20 @@ from arcweave.sources.catalog import Catalog
 
 
 class Graph:
-    """Nodes and edges, loaded once and read-only; every method returns a DataFrame and runs nothing itself.
+    """Nodes and edges, loaded once and read-only; every method returns a lazy DataFrame.
 
-    The reads come in two forms: for a DataFrame of ids (``*_of``) and for one id.
+    The reads come in two forms: for a DataFrame of ids (``*_of``) and for one id. Of an opened graph both read only the
+    buckets that the ids fall into; the forms for many ids run a small job at once to find out which. ``csr_index``,
+    ``expand_from`` and ``sample_node_with_degree`` write intermediate tables when they are called.
     """
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, nodes: dict[str, DataFrame], relations: dict[str, DataFrame], adjacency: DataFrame | None = None):
-        """``relations``: edges with their attributes by relation name; ``adjacency``: a stored one, else it is made of them."""
+    def __init__(self, spark: SparkSession, catalog: Catalog, nodes: dict[str, DataFrame], relations: dict[str, DataFrame], adjacency: DataFrame | None = None, stored: store.Stored | None = None):
+        """``relations``: edges with their attributes by relation name; ``adjacency``: if it isn't to be made of them;
+        ``stored``: the bucketed tables of an opened graph."""
         self.spark, self.catalog, self.nodes, self.relations = spark, catalog, nodes, relations
-        self._stored = adjacency
+        self._stored = None if stored is None else stored.adjacency
+        self._stored_nodes = stored.nodes if stored is not None and stored.bucketed_nodes else None
+        self._buckets = None if stored is None else stored.buckets
         self.directed = spark.createDataFrame([], "rel string, src_id long, dst_id long, ts int")
         for df in relations.values():
             self.directed = self.directed.unionByName(df.select("rel", "src_id", "dst_id", "ts"))
@@ -38,8 +43,9 @@ class Graph:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Graph:
-        catalog, nodes, relations, adjacency = store.load(spark, path)
-        return cls(spark, catalog, nodes, relations, adjacency)
+        found = store.load(spark, path)
+        nodes = {t: df.drop("bucket") for t, df in found.nodes.items()}
+        return cls(spark, found.catalog, nodes, found.relations, found.adjacency, found)
 
     def save(self, path: str, buckets: int = store.BUCKETS) -> None:
         store.save(path, self.catalog, self.nodes, self.relations, self.adjacency, buckets)
@@ -60,12 +66,15 @@ class Graph:
 
     def fetch_node_attr(self, ident: int, numeric_only: bool = False) -> DataFrame:
         t = self.catalog.type_of_id(ident)
-        row = self.nodes[t].filter(self.nodes[t].node_id == ident)
+        if self._stored_nodes is not None:
+            row = store.entries_of(self._stored_nodes[t], ident, self._buckets, "node_id").drop("bucket")
+        else:
+            row = self.nodes[t].filter(self.nodes[t].node_id == ident)
         return row.select("node_id", *self.catalog.attribute_names(t, True)) if numeric_only else row
 
     def fetch_node_neighbor_edges(self, ident: int) -> DataFrame:
         if self._stored is not None:
-            return store.entries_of(self._stored, ident).select(*ADJACENCY).orderBy("ts", "dst_id")
+            return store.entries_of(self._stored, ident, self._buckets).select(*ADJACENCY).orderBy("ts", "dst_id")
         return self.adjacency.filter(self.adjacency.src_id == ident).orderBy("ts", "dst_id")
 
     def fetch_node_neighbor_nodes(self, ident: int) -> DataFrame:
@@ -79,31 +88,45 @@ class Graph:
         return reads.first_edges(self.fetch_node_neighbor_edges(ident), size).drop("place")
 
     def sample_node_with_degree(self, ident: int, degrees: Sequence[int] = (4, 4, 4)) -> tuple[DataFrame, DataFrame]:
-        nodes, edges = reads.expand(self._one(ident), self.adjacency, degrees)
+        nodes, edges = self.expand_from(self._one(ident), degrees)
         return nodes.select("node_id"), edges.select(*ADJACENCY)
 
     # many ids
 
-    def node_attr_of(self, ids: DataFrame, node_type: str) -> DataFrame:
-        return reads.node_attributes(ids, self.nodes[node_type])
+    @property
+    def _entries(self) -> tuple[DataFrame, int | None]:
+        """The adjacency as it is best read by node, and its buckets."""
+        return (self.adjacency, None) if self._stored is None else (self._stored, self._buckets)
+
+    def node_attr_of(self, ids: DataFrame, node_type: str, numeric_only: bool = False) -> DataFrame:
+        if self._stored_nodes is not None:
+            rows = reads.node_attributes(ids, self._stored_nodes[node_type], self._buckets).drop("bucket")
+        else:
+            rows = reads.node_attributes(ids, self.nodes[node_type])
+        return rows.select("node_id", *self.catalog.attribute_names(node_type, True)) if numeric_only else rows
 
     def neighbor_edges_of(self, ids: DataFrame) -> DataFrame:
-        return reads.neighbor_edges(ids, self.adjacency)
+        return reads.neighbor_edges(ids, *self._entries)
 
     def neighbor_nodes_of(self, ids: DataFrame) -> DataFrame:
-        return reads.neighbor_nodes(ids, self.adjacency)
+        return reads.neighbor_nodes(ids, *self._entries)
 
     def neighbor_attr_of(self, ids: DataFrame, node_type: str) -> DataFrame:
-        return reads.neighbor_attributes(ids, self.adjacency, self.nodes[node_type])
+        if self._stored_nodes is not None:
+            return reads.neighbor_attributes(ids, self._stored, self._stored_nodes[node_type], self._buckets)
+        adjacency, buckets = self._entries
+        return reads.neighbor_nodes(ids, adjacency, buckets).join(self.nodes[node_type].withColumnRenamed("node_id", "dst_id"), "dst_id")
 
     def edge_attr_of(self, pairs: DataFrame) -> DataFrame:
-        return reads.edge_entries(pairs, self.adjacency)
+        return reads.edge_entries(pairs, *self._entries)
 
     def sample_nodes_of(self, ids: DataFrame, size: int) -> DataFrame:
-        return reads.sample_first(ids, self.adjacency, size)
+        adjacency, buckets = self._entries
+        return reads.sample_first(ids, adjacency, size, buckets)
 
     def expand_from(self, ids: DataFrame, degrees: Sequence[int] = (4, 4, 4)) -> tuple[DataFrame, DataFrame]:
-        return reads.expand(ids, self.adjacency, degrees)
+        adjacency, buckets = self._entries
+        return reads.expand(ids, adjacency, degrees, buckets)
 
     def degree(self) -> DataFrame:
         return degree(self.adjacency)

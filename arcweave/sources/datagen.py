@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.sources.delimited import write_lines
+
 NODE_ATTRIBUTES = "attr1:int,attr2:float,attr3:bool,attr4:str"
 
 
@@ -16,33 +18,18 @@ def type_names(count: int) -> list[str]:
     return [f"T{i}" for i in range(count)]
 
 
-def _write(df: DataFrame, header: str, directory: str, name: str) -> None:
-    """One file per type, named so that its type shows; the header is its first line."""
-    spark = df.sparkSession
-    tmp = f"{directory}/_{name}"
-    head = spark.createDataFrame([(header, -1)], "value string, id long")
-    df.select("value", "id").unionByName(head).coalesce(1).sortWithinPartitions("id").select("value").write.mode("overwrite").text(tmp)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    to = jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}.csv")
-    fs = to.getFileSystem(conf)
-    part = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{tmp}/part-*"))[0].getPath()
-    fs.delete(to, False)
-    fs.rename(part, to)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
-
-
 def generate(spark: SparkSession, directory: str, node_types: int = 5, nodes: int = 1000, edges: int = 10_000, seed: int = 1, now: int = 1_700_000_000) -> list[str]:
-    """Writes ``node_types`` node files and one relation file for each pair of types; returns the type names."""
+    """Writes nodes of ``node_types`` types and a relation for each pair of types, one file a task; returns the type names."""
     names = type_names(node_types)
     key = lambda t, i: F.concat(F.substring(F.sha2(F.concat_ws("/", F.lit(seed), F.lit(t), i), 256), 1, 8), F.lit(t))
     truth = lambda salt: F.when(F.rand(seed + salt) < 0.5, "True").otherwise("False")
     for k, t in enumerate(names):
         row = F.concat_ws(",", key(t, F.col("id")), F.lit(now), F.round(F.rand(seed + k) * 100, 4).cast("string"), truth(100 + k), _letters(k, seed, 4))
-        _write(spark.range(nodes).select(row.alias("value"), "id"), f"{t}({t}),{NODE_ATTRIBUTES}", directory, f"node_{t}")
+        write_lines(spark.range(nodes).select(row), f"{t}({t}),{NODE_ATTRIBUTES}", directory, f"node_{t}")
     for i, a in enumerate(names):
         for j, b in enumerate(names[:i]):
             salt = 1000 + 50 * i + j
             end = lambda t, s: key(t, F.floor(F.rand(seed + s) * nodes))
             row = F.concat_ws(",", end(a, salt), end(b, salt + 10_000), F.lit(now % 10_000), F.round(F.rand(seed + salt + 1) * 100, 4).cast("string"), truth(salt + 2), _letters(salt, seed, 4))
-            _write(spark.range(edges).select(row.alias("value"), "id"), f"{a}({a}),{b}({b}),{NODE_ATTRIBUTES}", directory, f"relation_{a}_{b}")
+            write_lines(spark.range(edges).select(row), f"{a}({a}),{b}({b}),{NODE_ATTRIBUTES}", directory, f"relation_{a}_{b}")
     return names

@@ -1,12 +1,16 @@
 """Node and relation files: header-declared schemas, one row per line, no quoting unless asked for.
 
-A directory holds ``node_<type>.csv`` and ``relation_<name>.csv``. Spark's text source splits large files at line
+A directory holds ``node_<type>.csv`` and ``relation_<name>.csv``; either may come in several files, told apart by what
+follows a dot (``node_<type>.<part>.csv``), each with the header. Spark's text source splits large files at line
 ends, so that every line comes out exactly once; headers are dropped explicitly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.functions.ids import node_id
@@ -36,7 +40,7 @@ def header_of(spark: SparkSession, file: str) -> str:
 
 
 def _stem(file: str, prefix: str) -> str:
-    return file.rsplit("/", 1)[-1].removeprefix(prefix).removesuffix(".csv")
+    return file.rsplit("/", 1)[-1].removeprefix(prefix).split(".")[0]
 
 
 def discover(spark: SparkSession, directory: str, known: dict[str, int] | None = None) -> tuple[Catalog, dict[str, list[str]], dict[str, list[str]]]:
@@ -51,22 +55,46 @@ def discover(spark: SparkSession, directory: str, known: dict[str, int] | None =
     relations, relation_files = {}, {}
     for f in list_files(spark, directory, "relation_"):
         name = _stem(f, "relation_")
-        relations[name] = parse_relation_header(header_of(spark, f), name)
+        rel = parse_relation_header(header_of(spark, f), name)
+        if name in relations and relations[name] != rel:
+            raise ValueError(f"{f} declares other columns for {name!r} than the files before it")
+        relations[name] = rel
         relation_files.setdefault(name, []).append(f)
     return Catalog.build(nodes.values(), relations.values(), known), node_files, relation_files
 
 
+def fields_of(line: Column) -> Column:
+    """The fields of a line, split at every comma; empty ones count."""
+    return F.split(line, ",", -1)
+
+
+def line_bytes(line: Column) -> Column:
+    """Bytes of a line in its file, with the line feed."""
+    return F.octet_length(line).cast("long") + 1
+
+
+def reject_reason(fields: Column) -> Column:
+    """Why a line of a relation can't be used: ``columns``, fewer than three fields; ``ts``, the third is no 32-bit integer.
+    Null for a usable line."""
+    size = F.coalesce(F.size(fields), F.lit(0))
+    return F.when(size < 3, "columns").when(ts_of(fields).isNull(), "ts")
+
+
+def ts_of(fields: Column) -> Column:
+    return F.get(fields, F.lit(2)).try_cast("int")
+
+
 def _fields(spark: SparkSession, files: list[str], quoted: bool) -> DataFrame:
-    """(f: the line's fields, file, row): row orders the lines inside a file. Lines equal to a header are left out."""
+    """(f: the line's fields, line, file, row): row orders the lines inside a file. Lines equal to a header are left out."""
     headers = sorted({header_of(spark, f) for f in files})
     n = max(len(h.split(",")) for h in headers)
     if quoted:
         names = [f"_f{i}" for i in range(n)]
         text = spark.read.csv(files, schema=", ".join(f"{c} string" for c in names), quote='"', escape='"', nullValue="\0", emptyValue="")
-        df = text.select(F.array(*names).alias("f"), F.col("_metadata.file_path").alias("file"))
-        return df.filter(~F.concat_ws(",", "f").isin(headers)).withColumn("row", F.monotonically_increasing_id())
-    text = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"))
-    return text.filter(~F.col("value").isin(headers)).select(F.split("value", ",", -1).alias("f"), "file", F.monotonically_increasing_id().alias("row"))
+        df = text.select(F.array(*names).alias("f"), F.concat_ws(",", *names).alias("line"), F.col("_metadata.file_path").alias("file"))
+        return df.filter(~F.col("line").isin(headers)).withColumn("row", F.monotonically_increasing_id())
+    text = spark.read.text(files).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    return text.filter(~F.col("line").isin(headers)).select(fields_of(F.col("line")).alias("f"), "line", "file", F.monotonically_increasing_id().alias("row"))
 
 
 def read_nodes(spark: SparkSession, files: list[str], node: NodeType, ordinal: int, strict: bool = True, quoted: bool = False) -> DataFrame:
@@ -87,28 +115,57 @@ def read_nodes(spark: SparkSession, files: list[str], node: NodeType, ordinal: i
 
 
 def relation_lines(spark: SparkSession, files: list[str], quoted: bool = False) -> DataFrame:
-    """(f, file, row, usable): a line is usable with at least three fields of which the third is a 32-bit integer."""
-    raw = _fields(spark, files, quoted)
-    usable = (F.size("f") >= 3) & F.get("f", F.lit(2)).try_cast("int").isNotNull()
-    return raw.withColumn("usable", F.coalesce(usable, F.lit(False)))
+    """(f, line, file, row, reason): reason is null for a usable line, see ``reject_reason``."""
+    return _fields(spark, files, quoted).withColumn("reason", reject_reason(F.col("f")))
 
 
 def read_relation(spark: SparkSession, files: list[str], rel: Relation, catalog: Catalog, quoted: bool = False) -> DataFrame:
-    """Usable lines as edges (rel, src_id, dst_id, ts, <attributes after ts>); the others are dropped, see rejected_lines."""
+    """Usable lines as edges (rel, src_id, dst_id, ts, <attributes after ts>); the others are dropped, see ``rejects``."""
     taken = {"rel", "src_id", "dst_id", "ts"}
     if clash := [n for n, _ in rel.attributes[1:] if n.lower() in taken]:
         raise ValueError(f"attributes of {rel.name} can't be called {clash}")
-    good = relation_lines(spark, files, quoted).filter("usable")
+    good = relation_lines(spark, files, quoted).filter("reason IS NULL")
     attributes = [parse_column(F.get("f", F.lit(i)), token, strict=False).alias(name) for i, (name, token) in enumerate(rel.attributes[1:], start=3)]
     return good.select(
         F.lit(rel.name).alias("rel"),
         node_id(catalog.ordinal(rel.from_type), F.get("f", F.lit(0))).alias("src_id"),
         node_id(catalog.ordinal(rel.to_type), F.get("f", F.lit(1))).alias("dst_id"),
-        F.get("f", F.lit(2)).try_cast("int").alias("ts"),
+        ts_of(F.col("f")).alias("ts"),
         *attributes,
     )
 
 
+def rejects(spark: SparkSession, files: list[str], quoted: bool = False) -> DataFrame:
+    """(file, reason, line) of the lines that ``read_relation`` drops."""
+    return relation_lines(spark, files, quoted).filter("reason IS NOT NULL").select("file", "reason", "line")
+
+
 def rejected_lines(spark: SparkSession, files: list[str], quoted: bool = False) -> DataFrame:
     """Number of unusable lines by file."""
-    return relation_lines(spark, files, quoted).filter("NOT usable").groupBy("file").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return rejects(spark, files, quoted).groupBy("file").agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
+def _with_header(header: str):
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
+        for b in batches:  # under one schema, whether or not the lines can be null
+            yield pa.RecordBatch.from_arrays(b.columns, names=["value"])
+
+    return lines
+
+
+def write_lines(lines: DataFrame, header: str, directory: str, name: str) -> None:
+    """Writes the lines (one string column) as ``<name>.<part>.csv`` in the directory: one file a partition, in their order,
+    each with the header. Files of that name that were there are replaced."""
+    spark = lines.sparkSession
+    tmp = f"{directory}/_{name}"
+    lines.toDF("value").mapInArrow(_with_header(header), "value string").write.mode("overwrite").text(tmp)
+    jvm = spark.sparkContext._jvm
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(directory).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in fs.globStatus(path(f"{directory}/{name}{{,.*}}.csv")) or []:
+        fs.delete(old.getPath(), False)
+    for part in fs.globStatus(path(f"{tmp}/part-*")):
+        number = part.getPath().getName().split("-")[1]
+        fs.rename(part.getPath(), path(f"{directory}/{name}.{number}.csv"))
+    fs.delete(path(tmp), True)

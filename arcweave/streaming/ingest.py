@@ -9,15 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from arcweave.functions.ids import BUCKETS, bucket, node_id
 from arcweave.operators.adjacency import both_directions
 from arcweave.sources.catalog import Catalog, Relation
+from arcweave.sources.delimited import fields_of, reject_reason, ts_of
 
 
 def stream_edges(spark: SparkSession, directory: str, rel: Relation, header: str, catalog: Catalog) -> DataFrame:
     """Streaming edges (src_id, dst_id, ts) of the files that appear in ``directory``; headers and unusable lines left out."""
     lines = spark.readStream.schema("value string").text(directory).filter(F.col("value") != header)
-    f = F.split("value", ",", -1)
-    ts = F.get(f, F.lit(2)).try_cast("int")
-    good = lines.filter((F.size(f) >= 3) & ts.isNotNull())
-    return good.select(node_id(catalog.ordinal(rel.from_type), F.get(f, F.lit(0))).alias("src_id"), node_id(catalog.ordinal(rel.to_type), F.get(f, F.lit(1))).alias("dst_id"), ts.alias("ts"))
+    f = fields_of(F.col("value"))
+    good = lines.filter(reject_reason(f).isNull())
+    return good.select(node_id(catalog.ordinal(rel.from_type), F.get(f, F.lit(0))).alias("src_id"), node_id(catalog.ordinal(rel.to_type), F.get(f, F.lit(1))).alias("dst_id"), ts_of(f).alias("ts"))
 
 
 def append_adjacency(edges: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:

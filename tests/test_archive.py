@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from arcweave.operators.archive import Archive, _records_in, adjacency_records, consolidated, pack, surplus_copies, write_consolidated
+from arcweave.operators.archive import Archive, _records_in, adjacency_records, consolidated, pack, pack_directory, surplus_copies, write_consolidated
 
 SCHEMA = "file_id long, file_name string, hid int, body string"
 BODIES = [
@@ -96,3 +96,25 @@ def test_empty_table_and_clashing_names(spark, rows):
     df = spark.createDataFrame([(1, "a", "1,1,1,1", 7, "z")], "file_id long, path string, data string, block_id long, body string")
     made = Archive.write(pack(df, "file_id", "path", "data"))
     assert files(made.files()) == [(1, "a", b"1,1,1,1")]
+
+
+def test_directory_of_small_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    want = {}
+    for i in range(150):
+        at = tmp_path / "in" / ("deep" if i % 2 else ".") / f"f{i}.bin"
+        body = bytes([i, 0, 255]) * (i % 7)
+        at.write_bytes(body)
+        want[f"f{i}.bin"] = body
+    packed = pack_directory(spark, str(tmp_path / "in"))
+    made = Archive.write(packed, str(tmp_path / "arch"))
+    assert {r.path.rsplit("/", 1)[-1]: bytes(r.body) for r in made.files().collect()} == want
+    assert made.blocks().count() == 2 and made.index().count() == 150  # files with bytes, empty files
+    path = made.index().filter("path LIKE '%/f1.bin'").first().path
+    assert [bytes(r.body) for r in made.lookup(path).collect()] == [want["f1.bin"]]
+    plan = made.lookup(path)._jdf.queryExecution().executedPlan().toString()
+    assert "block_id" in plan.split("PushedFilters: [")[1].split("]")[0]
+    monkeypatch.setattr("arcweave.operators.archive.NAMED_BLOCKS", 0)
+    assert [bytes(r.body) for r in made.lookup(path).collect()] == [want["f1.bin"]]
+    (tmp_path / "none").mkdir()
+    assert Archive.write(pack_directory(spark, str(tmp_path / "none")), str(tmp_path / "empty")).files().count() == 0

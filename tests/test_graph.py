@@ -81,6 +81,7 @@ def test_relation_lines(spark, tmp_path, rows):
     assert got == [("a", 1), ("f", 12), ("g", 5), ("i", 7), ("k", 9)]
     files = delimited.list_files(spark, str(tmp_path), "relation_")
     assert [r.n_rejected for r in delimited.rejected_lines(spark, files).collect()] == [6]
+    assert rows(delimited.rejects(spark, files).select("reason", "line")) == sorted([("columns", "b,y"), ("ts", "c,y,abc"), ("ts", "d,y,1.0"), ("ts", "e,y,"), ("ts", "h,y,3000000000"), ("ts", '"q,1",z,2')])
     quoted = Graph.from_files(spark, str(tmp_path), quoted=True)
     assert quoted.fetch_node_id("user", "q,1") in {r.src_id for r in quoted.directed.collect()}
 
@@ -230,7 +231,7 @@ def test_store_and_generator(spark, tmp_path, rows):
     nodes, found = again.sample_node_with_degree(ident)
     want = plain_expand([tuple(r) for r in g.adjacency.collect()], ident, (4, 4, 4))
     assert ({r.node_id for r in nodes.collect()}, {tuple(r) for r in found.collect()}) == want
-    got = store.lookup_by_bucket(spark.createDataFrame([(ident,), (5,)], "src_id long"), again._stored, "src_id")
+    got = store.lookup_by_bucket(spark.createDataFrame([(ident,), (5,)], "src_id long"), again._stored, "src_id", 64)
     assert rows(got.select("src_id", "dst_id", "ts")) == rows(again.fetch_node_neighbor_edges(ident))
     plan = again.fetch_node_neighbor_edges(ident)._jdf.queryExecution().executedPlan().toString()
     assert "bucket#" in plan.split("PartitionFilters")[1].split("]")[0] and f"EqualTo(src_id,{ident})" in plan
@@ -239,6 +240,25 @@ def test_store_and_generator(spark, tmp_path, rows):
     assert rows(again.degree()) == rows(g.degree())
 
 
+def test_tables_in_several_files(spark, tmp_path, rows):
+    """Parts of a node type and of a relation; the last row of a key by file name and line wins."""
+    at = str(tmp_path)
+    nodes = spark.createDataFrame([(i, f"k{i % 50},{i}") for i in range(400)], "i int, line string").repartitionByRange(4, "i").sortWithinPartitions("i")
+    delimited.write_lines(nodes.select("line"), "u(u),n:int", at, "node_u")
+    delimited.write_lines(spark.createDataFrame([(f"k{i},x,{i}",) for i in range(90)], "line string").repartition(3), "u(u),i(i),ts:int", at, "relation_r")
+    (tmp_path / "relation_r2.csv").write_text("u(u),i(i),ts:int\nk1,x,7\n")
+    g = Graph.from_files(spark, at)
+    assert set(g.relations) == {"r", "r2"} and g.relations["r"].count() == 90 and g.relations["r2"].count() == 1
+    assert rows(g.nodes["u"].select("key", "n")) == sorted(((f"k{i}", 350 + i) for i in range(50)), key=str)
+    assert len(delimited.list_files(spark, at, "node_u")) > 1
+    delimited.write_lines(spark.createDataFrame([("k1,x,1",)], "line string").coalesce(1), "u(u),i(i),ts:int", at, "relation_r")
+    again = Graph.from_files(spark, at)
+    assert again.relations["r"].count() == 1 and again.relations["r2"].count() == 1
+    (tmp_path / "relation_r.zz.csv").write_text("u(u),i(i),ts:int,w:int\n")
+    with pytest.raises(ValueError):
+        Graph.from_files(spark, at)
+
+
 def test_cli(spark, tmp_path, capsys):
     from arcweave.cli import main
 
@@ -248,6 +268,12 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["neighbors", str(tmp_path / "out"), "u", "x"], spark) == 0
     assert main(["sample", str(tmp_path / "out"), "u", "x", "2", "2"], spark) == 0
     assert str(ids.node_id_of(0, "y")) in capsys.readouterr().out
+    (tmp_path / "in" / "relation_r.csv").write_text("a(u),b(i),ts:int\nx,y,1\nx,y\nx,y,z\n")
+    assert main(["rejects", str(tmp_path / "in")], spark) == 0
+    assert "columns" in (said := capsys.readouterr().out) and "ts" in said
+    assert main(["pack", str(tmp_path / "in"), str(tmp_path / "packed")], spark) == 0
+    assert main(["extract", str(tmp_path / "packed"), f"file:{tmp_path}/in/relation_r.csv"], spark) == 0
+    assert capsys.readouterr().out == (tmp_path / "in" / "relation_r.csv").read_text()
 
 
 def test_stream(spark, tmp_path, rows):
