@@ -17,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcweave.common import by_position, position
+from arcweave.common import by_position, materialize, position, shuffle_width
 from arcweave.functions.types import bool_column
 
 QUOTE, COMMA, CR, LF, SPACE, PLUS, MINUS, ZERO = 34, 44, 13, 10, 32, 43, 45, 48
@@ -224,8 +224,9 @@ def split_records(df: DataFrame, line: str, keys: Sequence[str], spec: RecordSpe
     return src.mapInArrow(_splitter(spec, len(keys)), schema).toDF(*keys, *out)
 
 
-#: Bytes of a file that are indexed at once.
+#: Bytes of a file whose record ends are located at once, and bytes of files that a task reads.
 FILE_BLOCK = 8 << 20
+FILE_TASK = 128 << 20
 
 
 def record_ends(data: np.ndarray, quotes_before: int = 0) -> np.ndarray:
@@ -235,40 +236,87 @@ def record_ends(data: np.ndarray, quotes_before: int = 0) -> np.ndarray:
     return feeds[(quotes[feeds] + quotes_before) % 2 == 0]
 
 
-def _records_of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open(path: str):
+    """A file to read from: local ones by the operating system, others by pyarrow's file systems."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return open("/" + rest.lstrip("/") if colon else path, "rb")
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return system.open_input_file(at)
+
+
+def _block_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks (path, offset, size): parity of their quotes, and the record ends in them if they begin outside quotes or inside."""
     for b in batches:
-        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-            data = np.frombuffer(content.as_buffer(), dtype=np.uint8)
-            number, begin, at, quotes = 0, 0, 0, 0
-            while at < len(data):
-                block = data[at : at + FILE_BLOCK]
-                ends = record_ends(block, quotes) + at
-                quotes += int((block == QUOTE).sum())
-                at += len(block)
-                if at == len(data) and data[-1] != 10 or at == len(data) and not (len(ends) and ends[-1] == at - 1):
-                    ends = np.append(ends, at)
-                if not len(ends):
+        out: list[tuple[int, int, int]] = []
+        for path, offset, size in zip(*(c.to_pylist() for c in b.columns)):
+            with _open(path) as f:
+                f.seek(offset)
+                data = np.frombuffer(f.read(size), dtype=np.uint8)
+            out.append((int((data == QUOTE).sum()) % 2, len(record_ends(data, 0)), len(record_ends(data, 1))))
+        parity, outside, inside = (pa.array(x, pa.int64()) for x in zip(*out)) if out else [pa.array([], pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([*b.columns, parity, outside, inside], names=["path", "offset", "size", "parity", "outside", "inside"])
+
+
+def _block_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records that begin in blocks (path, offset, size, odd, ends): ``odd`` if a quote is open at the block's begin, and
+    the number of record ends before it. A record that goes on behind its block is read on to its end."""
+    for b in batches:
+        for path, offset, size, odd, ends_before in zip(*(c.to_pylist() for c in b.columns)):
+            with _open(path) as f:
+                f.seek(max(0, offset - 1))
+                fresh = offset == 0 or (f.read(1) == b"\n" and not odd)
+                data = np.frombuffer(f.read(size), dtype=np.uint8)
+                ends = record_ends(data, odd)
+                begins = np.concatenate([np.zeros(int(fresh), np.int64), ends[ends + 1 < len(data)] + 1])
+                if not len(begins):
                     continue
-                offs = np.concatenate([[begin], ends + 1])
-                raw = data[begin : min(offs[-1], at)]
-                bounds = np.minimum(offs - begin, len(raw))
-                # a record does not hold the line feed that ends it
-                source = np.ones(len(raw), dtype=bool)
-                source[ends[ends < at] - begin] = False
-                sizes = np.diff(bounds) - (ends < at)
-                text = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes()), pa.py_buffer(raw[source].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(sizes)), pa.array(np.arange(number, number + len(sizes))), text.cast(pa.string())], names=["file_name", "record_no", "line"])
-                number, begin = number + len(sizes), int(offs[-1])
-
-
-def read_records(spark: SparkSession, paths: str | list[str], header: bool = True) -> DataFrame:
+                number = ends_before + (0 if fresh else 1)
+                close = ends if fresh else ends[1:]
+                if len(close) < len(begins):  # the last record is still open
+                    parts, quotes, at = [data], int((data == QUOTE).sum()) + odd, len(data)
+                    while more := f.read(FILE_BLOCK):
+                        more = np.frombuffer(more, dtype=np.uint8)
+                        later = record_ends(more, quotes)
+                        parts.append(more[: later[0]] if len(later) else more)
+                        at += len(parts[-1])
+                        if len(later):
+                            break
+                        quotes += int((more == QUOTE).sum())
+                    data, close = np.concatenate(parts), np.append(close, at)
+            raw = data[begins[0] : close[-1]]
+            source = np.ones(len(raw), dtype=bool)
+            source[close[:-1] - begins[0]] = False  # a record does not hold the line feed that ends it
+            bounds = np.concatenate([[0], np.cumsum(close - begins)])
+            text = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(raw[source].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(begins)), pa.array(np.arange(number, number + len(begins))), text.cast(pa.string())], names=["file_name", "record_no", "line"])
+
+
+def read_records(spark: SparkSession, paths: str | list[str], header: bool = True, block_bytes: int = FILE_BLOCK) -> DataFrame:
     """Records of delimited files whose fields may hold line breaks: (file_name, record_no, line), for split_records.
 
-    Record ends are the line feeds outside quotes, by quote parity. A file is read by one task (2 GB at most); a quote
-    that is never closed therefore takes the rest of its file into one record, which split_records then rejects.
+    Record ends are the line feeds outside quotes. Files are cut into blocks that are read by many tasks: a first pass
+    finds the parity of the quotes in each block, the prefix parity of the blocks of a file tells each of them whether
+    it begins inside quotes, and a second pass takes from each block the records that begin in it. Only one row a block is
+    shuffled. Other than local files are opened by pyarrow's file systems.
+
+    A quote that is never closed takes the rest of its file into one record (2 GB at most), which split_records then
+    rejects. Empty files have no records.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    records = files.select("path", "content").mapInArrow(_records_of_files, "file_name string, record_no long, line string")
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").filter("length > 0")
+    total = files.agg(F.sum("length")).first()[0] or 0  # from the listing
+    tasks = max(shuffle_width(spark), -(-total // FILE_TASK))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block_bytes).cast("long"))).alias("offset")
+    blocks = files.select("path", at, "length").select("path", "offset", F.least(F.lit(block_bytes), F.col("length") - F.col("offset")).alias("size"))
+    states = blocks.repartition(tasks).mapInArrow(_block_states, "path string, offset long, size long, parity long, outside long, inside long")
+    before = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    states = states.withColumn("odd", F.pmod(sum_before("parity"), F.lit(2)))
+    states = states.withColumn("ends", sum_before(F.when(F.col("odd") == 0, F.col("outside")).otherwise(F.col("inside"))))
+    placed = materialize(states.select("path", "offset", "size", "odd", "ends"), "blocks")
+    records = placed.repartition(tasks).mapInArrow(_block_records, "file_name string, record_no long, line string")
     return records.filter("record_no > 0") if header else records
 
 

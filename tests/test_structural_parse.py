@@ -150,21 +150,36 @@ def test_files(spark, tmp_path, monkeypatch):
     for r in df.orderBy("file_name", "record_no").collect():
         got.setdefault(r.file_name[-5], []).append(r.line)
     assert got == want
-    import pyarrow as pa
-
-    for block in (1, 2, 3, 7, 50):
-        monkeypatch.setattr(structural_parse, "FILE_BLOCK", block)
-        batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array([t.encode() for t in texts.values()])], names=["p", "c"])
+    monkeypatch.setattr(structural_parse, "FILE_BLOCK", 5)  # a record that goes on behind its block is read on in such parts
+    for block in (1, 2, 7, 50):
         again = {}
-        for b in structural_parse._records_of_files(iter([batch])):
-            for f, n, line in zip(*(c.to_pylist() for c in b.columns)):
-                again.setdefault(f, []).append((n, line))
+        for r in structural_parse.read_records(spark, str(tmp_path / "*.csv"), False, block).orderBy("file_name", "record_no").collect():
+            again.setdefault(r.file_name[-5], []).append((r.record_no, r.line))
         assert {f: [x for n, x in rs if n > 0] for f, rs in again.items() if len(rs) > 1} == want
+        assert again["e"] == [(0, "h")] and "c" not in again
         assert all([n for n, _ in rs] == list(range(len(rs))) for rs in again.values())
     reasons = {(r.file_name[-5], r.record_no): r.reason for r in split_records(df, "line", ["file_name", "record_no"], SPEC).collect()}
     assert reasons == {("a", 1): None, ("a", 2): None, ("a", 3): "columns", ("a", 4): None, ("b", 1): None, ("d", 1): "quoting"}
 
 
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    """One file, blocks of 1 kB: records with line feeds inside quotes over block bounds, against a plain pass over the text."""
+    from pyspark.sql import functions as F
+
+    from arcweave.operators.structural_parse import read_records
+
+    rng = random.Random(11)
+    made = ["head"] + [f'{i},"' + "".join(rng.choice(["x", "\n", '""', ",", "é"]) for _ in range(rng.randint(0, 60))) + '"' for i in range(3000)]
+    (tmp_path / "big file.csv").write_bytes("\n".join(made).encode())
+    df = read_records(spark, str(tmp_path / "big file.csv"), block_bytes=1000)
+    assert [(r.record_no, r.line) for r in df.orderBy("record_no").collect()] == list(enumerate(made))[1:]
+    parts = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 1500
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert read_records(spark, str(empty)).count() == 0
+
+
 def test_other_specs(spark):
     spec = RecordSpec(2, (KeyCheck("k", 0, "z", 1), IntCheck("n", 1, 64)))
     df = spark.createDataFrame([(0, "az,9223372036854775807"), (1, "az,9223372036854775808"), (2, "aaz,1"), (3, "az"), (4, "az,-9223372036854775808"), (5, "az,-9223372036854775809"), (6, "az,9999999999999999999")], "i int, t string")
