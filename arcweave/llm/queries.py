@@ -17,6 +17,7 @@ RELATIONS = ("relation_acct_item", "relation_item_site")
 SHARE = 100  # p3: a value counts if it stands in more than 1 of so many rows
 TOP_N = 5  # p1
 MIN_WORDS = 12  # p8
+EXCHANGED = 2  # p8_similar_passages
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,7 +59,7 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return find_leaks(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "benchmark"), "item_id", "text", MIN_WORDS)
+    return find_leaks(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "benchmark"), "item_id", "text", MIN_WORDS, EXCHANGED)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,16 +126,30 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{rel}' AS rel, '{side}' AS side, {side}_key AS node_key, count(*) AS cnt, (SELECT count(*) FROM {rel}) AS n_rows FROM {rel} GROUP BY {side}_key" for rel in RELATIONS for side in ("from", "to")
     )
     looks = f"SELECT doc_id, text, {_sql_text('text')} AS look FROM documents WHERE text IS NOT NULL"
-    grams = lambda key, table: (
-        f"SELECT {key}, array_to_string(w[i:i + {MIN_WORDS - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {MIN_WORDS - 2})) AS i"
-        f" FROM (SELECT {key}, regexp_extract_all(lower({_sql_text('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}))"
+    words = lambda key, table: f"SELECT {key}, regexp_extract_all(lower({_sql_text('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}"
+    grams = lambda key, table, n: f"SELECT {key}, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {table})"
+    # 12 words of which two are exchanged have four equal ones in a row; along every diagonal with such a run the equal words
+    # are grouped by the number of unequal ones before them, and a similar passage goes from one group to another
+    run = -(-(MIN_WORDS - EXCHANGED) // (EXCHANGED + 1))
+    similar = (
+        f"WITH dw AS ({words('doc_id', 'documents')}), iw AS ({words('item_id', 'benchmark')}),"
+        f" c AS (SELECT DISTINCT doc_id, item_id, d.i - b.i AS dg FROM ({grams('doc_id', 'dw', run)}) d JOIN ({grams('item_id', 'iw', run)}) b USING (g)),"
+        " cells AS (SELECT doc_id, item_id, dg, unnest(range(greatest(0, -dg), least(len(iw.w), len(dw.w) - dg))) AS q, dw.w AS d, iw.w AS i FROM c JOIN dw USING (doc_id) JOIN iw USING (item_id)),"
+        " eq AS (SELECT doc_id, item_id, dg, q, d[q + dg + 1] = i[q + 1] AS same FROM cells),"
+        " bad AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, item_id, dg ORDER BY q) AS n FROM eq),"
+        " runs AS (SELECT doc_id, item_id, dg, n, min(q) AS q0, max(q) AS q1 FROM bad WHERE same GROUP BY ALL),"
+        f" spans AS (SELECT a.*, b.q1 - a.q0 + 1 AS size, b.n - a.n AS wrong, max(b.q1 - a.q0 + 1) OVER (PARTITION BY doc_id, item_id, dg) AS longest FROM runs a JOIN runs b USING (doc_id, item_id, dg) WHERE b.n BETWEEN a.n AND a.n + {EXCHANGED}),"
+        f" good AS (SELECT *, max(q1 - q0 + 1) OVER (PARTITION BY doc_id, item_id) AS exact FROM spans WHERE longest >= {MIN_WORDS})"
+        " SELECT doc_id, item_id, exact AS exact_words, size AS similar_words, wrong::INTEGER AS substitutions, (q0 + dg)::INTEGER AS doc_word, q0::INTEGER AS item_word FROM good"
+        " QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY size DESC, wrong, q0 + dg, q0) = 1"
     )
     return {
         "p1_found": f"SELECT pos FROM (SELECT pos, {place} AS place FROM concat_to_arr) WHERE place <= {TOP_N}",
         "p1_top_entries": f"SELECT pos, arr_index, arr_value, ts FROM (SELECT *, {place} AS place FROM concat_to_arr) WHERE place <= {TOP_N}",
         "p3_found": f"SELECT rel, side, node_key FROM ({sides}) WHERE node_key IS NOT NULL AND cnt * {SHARE} > n_rows",
         "p3_top_keys": f"SELECT rel, side, node_key, cnt, n_rows FROM ({sides}) WHERE node_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rel, side ORDER BY cnt DESC, node_key) <= 20",
-        "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams('doc_id', 'documents')}) JOIN ({grams('item_id', 'benchmark')}) USING (g)",
+        "p8_found": f"WITH dw AS ({words('doc_id', 'documents')}), iw AS ({words('item_id', 'benchmark')}) SELECT DISTINCT doc_id, item_id FROM ({grams('doc_id', 'dw', MIN_WORDS)}) JOIN ({grams('item_id', 'iw', MIN_WORDS)}) USING (g)",
+        "p8_similar_passages": similar,
         "p9_found": f"WITH d AS ({looks}) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
         "p9_look_classes": f"WITH d AS ({looks}), c AS (SELECT look, min(doc_id) AS class_id, count(*) AS class_rows, count(DISTINCT text) AS class_forms FROM d GROUP BY look)"
         " SELECT doc_id, class_id, class_rows, class_forms FROM d JOIN c USING (look)",
