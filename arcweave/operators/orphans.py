@@ -5,39 +5,41 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.common import by_position, materialize, position, shuffle_width
+from arcweave.common import by_position, materialize, position, run_starts, shuffle_width
 
 MATCHES = ("simple", "partial", "full")
 
 
 def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (begin, end, key...) sorted by (key..., begin): joins the spans of a key that touch or overlap."""
-    key, begin, end = None, 0, 0
+    """Rows (begin, end, key...) sorted by (key..., begin): joins the spans of a key that touch or overlap.
+
+    A span begins where no earlier one of the key reaches: the running maximum of the ends within a key. Between
+    batches the last span stays open.
+    """
+    held: pa.RecordBatch | None = None  # the open span, one row
     for b in batches:
-        out: list[tuple] = []
-        times = [c.cast(pa.int64()) for c in b.columns[:2]]  # microseconds
-        for first, last, *own in zip(*(c.to_pylist() for c in [*times, *b.columns[2:]])):
-            if own == key and first <= end:
-                end = max(end, last)
-                continue
-            if key is not None:
-                out.append((begin, end, *key))
-            key, begin, end = own, first, last
-        if out:
-            yield _spans_batch(b.schema, out)
-        schema = b.schema
-    if key is not None:
-        yield _spans_batch(schema, [(begin, end, *key)])
-
-
-def _spans_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    begin, end, *keys = zip(*rows)
-    times = [pa.array(x, pa.int64()).cast(f.type) for x, f in zip((begin, end), schema)]
-    return pa.RecordBatch.from_arrays([*times, *(pa.array(x, f.type) for x, f in zip(keys, list(schema)[2:]))], schema=schema)
+        if not b.num_rows:
+            continue
+        b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        begin, end = (c.cast(pa.int64()).to_numpy() for c in b.columns[:2])  # microseconds
+        first = run_starts(b.columns[2:], None)
+        ends = pd.Series(end).groupby(np.cumsum(first)).cummax().to_numpy()
+        first[1:] |= begin[1:] > ends[:-1]
+        heads = np.flatnonzero(first)
+        ends = ends[np.append(heads[1:], b.num_rows) - 1]
+        joined = b.take(pa.array(heads))
+        joined = pa.RecordBatch.from_arrays([joined.column(0), pa.array(ends, pa.int64()).cast(b.schema[1].type), *joined.columns[2:]], schema=b.schema)
+        held = joined.slice(joined.num_rows - 1)
+        if joined.num_rows > 1:
+            yield joined.slice(0, joined.num_rows - 1)
+    if held is not None:
+        yield held
 
 
 def _spans(parents: DataFrame, k: list[str]) -> DataFrame:
@@ -57,17 +59,18 @@ def _spans(parents: DataFrame, k: list[str]) -> DataFrame:
 def orphan_references(
     refs: DataFrame,
     ref_keys: Sequence[str],
-    ref_time: str,
+    ref_time: str | None,
     parents: DataFrame,
     parent_keys: Sequence[str],
-    parent_begin: str,
-    parent_end: str,
+    parent_begin: str | None,
+    parent_end: str | None,
     carry: Sequence[str] = (),
     match: str = "simple",
 ) -> DataFrame:
     """References without a parent row that is there at ``ref_time``: (carry..., state).
 
-    A parent row is there from ``parent_begin`` on until before ``parent_end`` (null: for good). state is
+    A parent row is there from ``parent_begin`` on until before ``parent_end`` (null: for good). Tables without times have
+    None for all three: a parent row is there at all times. state is
     ``missing``: no parent row has the key at all; ``late``: all of them begin after the reference; ``deleted``: else.
 
     References are grouped by their null mask (which of the key columns are null), and each group is anti-joined on
@@ -91,11 +94,15 @@ def orphan_references(
         raise ValueError("as many key columns of the references as of the parents, at least one")
     if "state" in {c.lower() for c in carry}:
         raise ValueError("a carried column can't be called state")
+    timed = ref_time is not None
+    if timed != (parent_begin is not None) or (parent_end is not None and not timed):
+        raise ValueError("either both tables have times or none")
     k = [f"k{i}" for i in range(len(ref_keys))]
     c = [f"x{i}" for i in range(len(carry))]
     at = lambda df, name: F.col(f"c{position(df, name)}")
-    r = by_position(refs).select(*[at(refs, n).alias(i) for n, i in zip(ref_keys, k)], at(refs, ref_time).cast("timestamp_ntz").alias("at"), *[at(refs, n).alias(i) for n, i in zip(carry, c)])
-    p = by_position(parents).select(*[at(parents, n).alias(i) for n, i in zip(parent_keys, k)], at(parents, parent_begin).cast("timestamp_ntz").alias("begin"), at(parents, parent_end).cast("timestamp_ntz").alias("end"))
+    time = lambda df, name: (F.lit(None) if name is None else at(df, name)).cast("timestamp_ntz")
+    r = by_position(refs).select(*[at(refs, n).alias(i) for n, i in zip(ref_keys, k)], time(refs, ref_time).alias("at"), *[at(refs, n).alias(i) for n, i in zip(carry, c)])
+    p = by_position(parents).select(*[at(parents, n).alias(i) for n, i in zip(parent_keys, k)], time(parents, parent_begin).alias("begin"), time(parents, parent_end).alias("end"))
     found = []
     for mask in product((True, False), repeat=len(k)):  # True: the column is not null
         there = [n for n, m in zip(k, mask) if m]
@@ -113,6 +120,9 @@ def orphan_references(
         known = p
         for n in there:
             known = known.filter(F.col(n).isNotNull())
+        if not timed:
+            found.append(group.join(known.select(*there).distinct(), there, "left_anti").select(*c, F.lit("missing").alias("state")))
+            continue
         spans = materialize(_spans(known, there), "spans")  # else each branch of a union of references makes them anew
         first = known.groupBy(*there).agg(F.min("begin").alias("first_begin"), F.lit(True).alias("known"))
         group = group.select(*there, "at", *c)

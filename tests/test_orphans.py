@@ -65,6 +65,30 @@ def test_hot_parent_is_spread(spark, rows):
     assert 100 <= len(spans) <= 100 + 4
 
 
+def test_spans_over_batches(spark, rows):
+    """The open span goes on from batch to batch, and so does a long one that covers many short ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rng = random.Random(6)
+        parents = [(rng.choice("xyz"), "k", (d := rng.choice(DAY)), rng.choice([None, d, d + timedelta(days=rng.randint(0, 9)), d + timedelta(hours=5)])) for _ in range(60)]
+        refs = [(i, a, "k", d + timedelta(hours=h)) for i, (a, d, h) in enumerate(itertools.product("xyzq", DAY, (0, 7)))]
+        assert rows(run(spark, refs, parents, "simple")) == plain(refs, parents, "simple")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("match", ["simple", "partial", "full"])
+def test_without_times(spark, rows, match):
+    refs = [(i, a, b, None) for i, (a, b) in enumerate(itertools.product(["x", "no", "", None], repeat=2))]
+    parents = [("x", "x", DAY[0], None), ("x", None, DAY[0], None), ("", "no", DAY[0], None), (None, None, DAY[0], None)]
+    r, p = spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PARENT)
+    got = orphan_references(r, ["a", "b"], None, p, ["a", "b"], None, None, ["id"], match)
+    always = [(i, a, b, DAY[5]) for i, a, b, _ in refs]
+    assert rows(got) == plain(always, parents, match)
+    with pytest.raises(ValueError):
+        orphan_references(r, ["a"], "at", p, ["a"], None, None)
+
+
 def test_empty_tables(spark, rows):
     assert rows(run(spark, [], [], "simple")) == []
     assert rows(run(spark, [(1, "x", "y", DAY[0])], [], "simple")) == [(1, "missing")]
