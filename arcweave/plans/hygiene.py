@@ -79,6 +79,47 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return _orphans(spark, sf).groupBy("rel", "side", month, "state").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
+def _load_refs(spark: SparkSession, sf: str, match: str) -> DataFrame:
+    """Rows of relation_acct_item as references (load_no, from_key) to idx_arr, in which either may be null."""
+    refs, noted = _table(spark, sf, "relation_acct_item"), _table(spark, sf, "idx_arr")
+    month = F.date_format("loaded_at", "yyyy-MM").alias("load_month")
+    key = ["load_no", "from_key"]
+    found = orphan_references(refs, key, None, noted, key, None, None, carry=["load_no", "from_key", "loaded_at"], match=match)
+    return found.groupBy("load_no", "from_key", month, "state").agg(F.count(F.lit(1)).alias("n_refs"))
+
+
+def p5_load_refs_simple(spark: SparkSession, sf: str) -> DataFrame:
+    return _load_refs(spark, sf, "simple")
+
+
+def p5_load_refs_partial(spark: SparkSession, sf: str) -> DataFrame:
+    return _load_refs(spark, sf, "partial")
+
+
+def p5_load_refs_full(spark: SparkSession, sf: str) -> DataFrame:
+    return _load_refs(spark, sf, "full")
+
+
+def _end_refs(spark: SparkSession, sf: str, match: str) -> DataFrame:
+    """Rows of relation_item_site as references (from_key, to_key) to the rows of the same relation that were loaded up to
+    the day before: pairs of nodes that no earlier load knows. Null ends are part of the key."""
+    rows = _table(spark, sf, "relation_item_site")
+    day = F.date_trunc("DAY", "loaded_at").cast("timestamp_ntz")
+    refs = rows.select("edge_id", "from_key", "to_key", day.alias("day"), F.date_format("loaded_at", "yyyy-MM").alias("load_month"))
+    known = rows.select("from_key", "to_key", (day + F.expr("INTERVAL 1 DAY")).alias("from_day"), F.lit(None).cast("timestamp_ntz").alias("gone"))
+    key = ["from_key", "to_key"]
+    found = orphan_references(refs, key, "day", known, key, "from_day", "gone", carry=["edge_id", "load_month"], match=match)
+    return found.distinct()
+
+
+def p5_new_pairs_partial(spark: SparkSession, sf: str) -> DataFrame:
+    return _end_refs(spark, sf, "partial")
+
+
+def p5_new_pairs_full(spark: SparkSession, sf: str) -> DataFrame:
+    return _end_refs(spark, sf, "full")
+
+
 def _archived_records(spark: SparkSession, sf: str) -> DataFrame:
     return adjacency_records(packed_archive(_table(spark, sf, "chunk_file")))
 
@@ -99,7 +140,7 @@ def p6_archive_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (p2_found, p2_relation_rows, p4_found, p4_key_runs, p4_key_chunks, p5_found, p5_report, p6_found, p6_consolidated, p6_archive_files)
+    fs = (p2_found, p2_relation_rows, p4_found, p4_key_runs, p4_key_chunks, p5_found, p5_report, p5_load_refs_simple, p5_load_refs_partial, p5_load_refs_full, p5_new_pairs_partial, p5_new_pairs_full, p6_found, p6_consolidated, p6_archive_files)
     return {f.__name__: f for f in fs}
 
 
@@ -127,6 +168,26 @@ def oracle_sql() -> dict[str, str]:
         " SELECT rel, edge_id, side, strftime(seen_at, '%Y-%m') AS load_month, CASE WHEN g.node_key IS NULL THEN 'missing' WHEN born > seen_at THEN 'late' ELSE 'deleted' END AS state"
         " FROM r LEFT JOIN g USING (node_table, node_key) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.node_table = r.node_table AND p.node_key = r.node_key AND p.loaded_at <= r.seen_at AND (p.deleted_at IS NULL OR p.deleted_at > r.seen_at))"
     )
+    # composite keys: which references a match rule checks, and when a parent row answers them
+    both, any_ = "a IS NOT NULL AND b IS NOT NULL", "(a IS NOT NULL OR b IS NOT NULL)"
+    same = "(r.a IS NULL OR p.a = r.a) AND (r.b IS NULL OR p.b = r.b)"
+    load_refs = lambda checked, match: (
+        "WITH r AS (SELECT DISTINCT load_no AS a, from_key AS b FROM relation_acct_item), p AS (SELECT load_no AS a, from_key AS b FROM idx_arr),"
+        f" o AS (SELECT a, b FROM r WHERE {checked} AND NOT ({match})) SELECT load_no, from_key, strftime(loaded_at, '%Y-%m') AS load_month, 'missing' AS state, count(*) AS n_refs"
+        " FROM relation_acct_item JOIN o ON load_no IS NOT DISTINCT FROM a AND from_key IS NOT DISTINCT FROM b GROUP BY ALL"
+    )
+    exists = f"EXISTS (SELECT 1 FROM p WHERE {same})"
+    pairs = lambda partial: (
+        "WITH r AS (SELECT edge_id, from_key AS a, to_key AS b, date_trunc('day', loaded_at) AS d, strftime(loaded_at, '%Y-%m') AS load_month FROM relation_item_site),"
+        " first_b AS (SELECT a, b, min(d) AS d FROM r WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),"
+        " first_a AS (SELECT a, min(d) AS d FROM r WHERE a IS NOT NULL GROUP BY ALL), first_to AS (SELECT b, min(d) AS d FROM r WHERE b IS NOT NULL GROUP BY ALL)"
+        " SELECT DISTINCT edge_id, load_month, 'late' AS state FROM r JOIN first_b f USING (a, b) WHERE f.d >= r.d"
+        + (
+            " UNION SELECT edge_id, load_month, 'late' FROM r JOIN first_a f USING (a) WHERE r.b IS NULL AND f.d >= r.d UNION SELECT edge_id, load_month, 'late' FROM r JOIN first_to f USING (b) WHERE r.a IS NULL AND f.d >= r.d"
+            if partial
+            else " UNION SELECT edge_id, load_month, 'missing' FROM r WHERE (a IS NULL) <> (b IS NULL)"
+        )
+    )
     num = " *([+-]?[0-9]+) *"
     record = ",".join([num] * 4)
     lines = "SELECT file_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT file_id, regexp_split_to_array(body, '\\r\\n|\\r|\\n') AS l FROM chunk_file)"
@@ -144,6 +205,11 @@ def oracle_sql() -> dict[str, str]:
         "p4_key_chunks": runs.replace("CHUNKS", f", ceil(count(*) / {CHUNK_ROWS})::BIGINT AS n_chunks"),
         "p5_found": f"SELECT DISTINCT rel, edge_id, side, state, load_month FROM ({orphans})",
         "p5_report": f"SELECT rel, side, load_month, state, count(*) AS n_refs FROM ({orphans}) GROUP BY ALL",
+        "p5_load_refs_simple": load_refs(both, exists),
+        "p5_load_refs_partial": load_refs(any_, exists),
+        "p5_load_refs_full": load_refs(any_, f"{both} AND {exists}"),
+        "p5_new_pairs_partial": pairs(True),
+        "p5_new_pairs_full": pairs(False),
         "p6_found": f"WITH r AS (SELECT DISTINCT file_id, pos FROM ({records}) WHERE {whole}) SELECT file_id, pos FROM r QUALIFY file_id > min(file_id) OVER (PARTITION BY pos)",
         "p6_consolidated": f"SELECT pos, arr_index, arr_value, ts FROM ({records}) WHERE {whole} QUALIFY row_number() OVER (PARTITION BY pos ORDER BY file_id, line_no) = 1",
         "p6_archive_files": "SELECT file_id, file_name AS path, md5(body) AS body_md5, strlen(body)::BIGINT AS n_bytes FROM chunk_file",
