@@ -58,14 +58,19 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack_texts(_table(spark, sf, "documents"), "doc_id", "text")
 
 
-def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return find_leaks(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "benchmark"), "item_id", "text", MIN_WORDS, EXCHANGED)
+def _leaks(spark: SparkSession, sf: str, **how) -> DataFrame:
+    return find_leaks(_table(spark, sf, "documents"), "doc_id", "text", _table(spark, sf, "benchmark"), "item_id", "text", MIN_WORDS, EXCHANGED, **how)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).filter(F.col("exact_words") >= MIN_WORDS).select("doc_id", "item_id").distinct()
 
 
+def p8_found_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in the way that is taken for test sets too large to be sent to all tasks."""
+    return _leaks(spark, sf, broadcast_seeds=0).filter(F.col("exact_words") >= MIN_WORDS).select("doc_id", "item_id").distinct()
+
+
 def p8_similar_passages(spark: SparkSession, sf: str) -> DataFrame:
     """Overlaps in which up to two words were exchanged."""
     return _leaks(spark, sf).filter(F.col("similar_words") >= MIN_WORDS)
@@ -80,7 +85,7 @@ def p9_look_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (p1_found, p1_top_entries, p3_found, p3_top_keys, p7_containers, p8_found, p8_similar_passages, p9_found, p9_look_classes)
+    fs = (p1_found, p1_top_entries, p3_found, p3_top_keys, p7_containers, p8_found, p8_found_joined, p8_similar_passages, p9_found, p9_look_classes)
     return {f.__name__: f for f in fs}
 
 
@@ -128,6 +133,9 @@ def oracle_sql() -> dict[str, str]:
     looks = f"SELECT doc_id, text, {_sql_text('text')} AS look FROM documents WHERE text IS NOT NULL"
     words = lambda key, table: f"SELECT {key}, regexp_extract_all(lower({_sql_text('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}"
     grams = lambda key, table, n: f"SELECT {key}, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {table})"
+    found = (
+        f"WITH dw AS ({words('doc_id', 'documents')}), iw AS ({words('item_id', 'benchmark')}) SELECT DISTINCT doc_id, item_id FROM ({grams('doc_id', 'dw', MIN_WORDS)}) JOIN ({grams('item_id', 'iw', MIN_WORDS)}) USING (g)"
+    )
     # 12 words of which two are exchanged have four equal ones in a row; along every diagonal with such a run the equal words
     # are grouped by the number of unequal ones before them, and a similar passage goes from one group to another
     run = -(-(MIN_WORDS - EXCHANGED) // (EXCHANGED + 1))
@@ -148,7 +156,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_top_entries": f"SELECT pos, arr_index, arr_value, ts FROM (SELECT *, {place} AS place FROM concat_to_arr) WHERE place <= {TOP_N}",
         "p3_found": f"SELECT rel, side, node_key FROM ({sides}) WHERE node_key IS NOT NULL AND cnt * {SHARE} > n_rows",
         "p3_top_keys": f"SELECT rel, side, node_key, cnt, n_rows FROM ({sides}) WHERE node_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rel, side ORDER BY cnt DESC, node_key) <= 20",
-        "p8_found": f"WITH dw AS ({words('doc_id', 'documents')}), iw AS ({words('item_id', 'benchmark')}) SELECT DISTINCT doc_id, item_id FROM ({grams('doc_id', 'dw', MIN_WORDS)}) JOIN ({grams('item_id', 'iw', MIN_WORDS)}) USING (g)",
+        "p8_found": found,
+        "p8_found_joined": found,
         "p8_similar_passages": similar,
         "p9_found": f"WITH d AS ({looks}) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
         "p9_look_classes": f"WITH d AS ({looks}), c AS (SELECT look, min(doc_id) AS class_id, count(*) AS class_rows, count(DISTINCT text) AS class_forms FROM d GROUP BY look)"
