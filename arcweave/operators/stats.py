@@ -23,6 +23,15 @@ def sample_words(words: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
     return words.sample(fraction, seed)
 
 
+def sample_rows(rows: DataFrame, key: str, one_in: int) -> DataFrame:
+    """About one in so many rows, chosen by the md5 of ``key``: the same rows however the table is split, and after a task is
+    run again. Rows with a null key are left out, rows with one key stay together."""
+    if one_in < 1:
+        raise ValueError("one_in must be at least 1")
+    number = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    return rows.filter(number % one_in == 0)
+
+
 def word_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("node_type", "key").agg(F.count(F.lit(1)).alias("cnt"))
 

@@ -31,6 +31,7 @@ FIRST = 4
 ATTRIBUTES = ("attr1", "attr2", "attr3", "attr4")
 EDGE_ATTRIBUTES = ("attr2", "attr3", "attr4")
 EVERY = 50  # stored_*: ids divisible by it
+SAMPLE = 10  # sample_freq_words: one line in so many
 NODE_HEADER = "{0}({0}),attr1:int,attr2:float,attr3:bool,attr4:str"
 RELATION_HEADER = "acct(acct),item(item),ts:int,attr2:float,attr3:bool,attr4:str"
 TOKENS = (("attr1", "int"), ("attr2", "float"), ("attr3", "bool"), ("attr4", "str"))
@@ -74,10 +75,12 @@ def _all_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def _words(spark: SparkSession, sf: str) -> DataFrame:
+def _words(spark: SparkSession, sf: str, one_in: int = 1) -> DataFrame:
     out = None
     for rel, (a, b) in RELATIONS.items():
         usable = _table(spark, sf, rel).filter("from_key IS NOT NULL AND to_key IS NOT NULL AND ts IS NOT NULL")
+        if one_in > 1:
+            usable = stats.sample_rows(usable, "edge_id", one_in)
         one = stats.type_words(usable, [("from_key", a), ("to_key", b)])
         out = one if out is None else out.unionByName(one)
     return out
@@ -196,6 +199,11 @@ def freq_words(spark: SparkSession, sf: str) -> DataFrame:
     return stats.top_words(_words(spark, sf))
 
 
+def sample_freq_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampling operator: frequencies as a sample of the lines shows them."""
+    return stats.top_words(_words(spark, sf, SAMPLE))
+
+
 def heavy_hitters(spark: SparkSession, sf: str) -> DataFrame:
     return stats.heavy_hitters(_words(spark, sf))
 
@@ -356,7 +364,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sample_first_all": sample_first_all, "khop_nodes_all": khop_nodes_all, "khop_edges_all": khop_edges_all,
     }
     later = (
-        stored_node_attr, stored_edge_attr, stored_neighbor_edges, stored_neighbor_nodes, stored_neighbor_attrs, stored_sample_first, stored_khop_nodes,
+        sample_freq_words, stored_node_attr, stored_edge_attr, stored_neighbor_edges, stored_neighbor_nodes, stored_neighbor_attrs, stored_sample_first, stored_khop_nodes,
         stored_khop_edges, stored_relations, file_nodes, file_node_numbers, file_edges, file_rejects, file_adjacency,
     )
     return named | {f.__name__: f for f in later}
@@ -428,6 +436,7 @@ def oracle_sql() -> dict[str, str]:
         "khop_nodes": f"WITH {adj}, {ranked}, {hops} SELECT * FROM n{last}",
         "khop_edges": f"WITH {adj}, {ranked}, {hops} SELECT * FROM ({' UNION '.join(f'SELECT * FROM e{i}' for i in range(1, last + 1))})",
         "freq_words": f"WITH {counts} SELECT * FROM top",
+        "sample_freq_words": f"WITH {counts} SELECT * FROM top".replace(usable, f"{usable} AND ('0x' || substr(md5(edge_id::VARCHAR), 1, 15))::BIGINT % {SAMPLE} = 0"),
         "heavy_hitters": f"WITH {counts}, {heavy} SELECT * FROM h",
         "line_stats": f"WITH {counts}, {heavy}, s AS (SELECT node_type, sum(cnt) AS held FROM h GROUP BY ALL) SELECT node_type, n_entries, ((n_entries - coalesce(held, 0)) // {stats.BATCH_ENTRIES})::BIGINT AS n_buckets FROM t LEFT JOIN s USING (node_type)",
         "line_stats_plain": f"WITH {counts} SELECT node_type, n_entries, (n_entries // {stats.BATCH_ENTRIES})::BIGINT AS n_buckets FROM t",

@@ -214,6 +214,9 @@ def test_statistics(spark, rows):
     assert rows(stats.line_stats(words, batch=100)) == [("item", 1000, 6), ("user", 1000, 4)]
     assert rows(stats.line_stats(words, True, batch=100)) == [("item", 1000, 10), ("user", 1000, 10)]
     assert 0 < stats.sample_words(words, 0.2).count() < 1000
+    some = stats.sample_rows(words, "key", 5)
+    assert 0 < some.count() < 1000 and rows(some) == rows(stats.sample_rows(words.repartition(7), "key", 5))
+    assert stats.sample_rows(words, "key", 1).count() == 2000
     assert stats.partition_counts(df.repartition(3)).agg(F.sum("n_rows")).first()[0] == 1000
 
 
