@@ -51,10 +51,14 @@ class IntCheck:
 
 @dataclass(frozen=True)
 class RecordSpec:
-    """Number of fields and the checks, in the order in which a reason is chosen after ``quoting`` and ``columns``."""
+    """Number of fields and the checks, in the order in which a reason is chosen after ``quoting`` and ``columns``.
+
+    ``least``: a record may have fewer fields, down to this number (the others are null then, and checks are for fields
+    that are always there), or more (which are left out)."""
 
     fields: int
     checks: tuple[KeyCheck | IntCheck, ...]
+    least: int | None = None
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -103,7 +107,7 @@ class Numbers:
 class Index:
     """Structural index of a batch of records."""
 
-    def __init__(self, lines: pa.Array, fields: int):
+    def __init__(self, lines: pa.Array, fields: int, least: int | None = None):
         lines = lines.cast(pa.large_binary())
         n = len(lines)
         offs = np.frombuffer(lines.buffers()[1], dtype=np.int64)[lines.offset : lines.offset + n + 1]
@@ -134,11 +138,19 @@ class Index:
         missing = lines.is_null().to_numpy(zero_copy_only=False)
         self.arity[missing] = 0
         # bounds of every field of the records of the right shape, quotes taken off
-        self.sound = ~self.misquoted & (self.arity == fields)
+        self.fits = self.arity == fields if least is None else self.arity >= least
+        self.sound = ~self.misquoted & self.fits
         at = np.flatnonzero(self.sound)
-        inner = cpos[self.sound[crec]].reshape(len(at), fields - 1)
-        self.lo = np.concatenate([start[at][:, None], inner + 1], axis=1)
-        self.hi = np.concatenate([inner, end[at][:, None]], axis=1)
+        number = np.cumsum(self.sound) - 1  # of a sound record among these
+        mine = self.sound[crec]
+        rank = (np.arange(len(cpos)) - np.searchsorted(crec, np.arange(n))[crec])[mine]  # of a comma in its record
+        row, comma = number[crec[mine]], cpos[mine]
+        self.lo = np.repeat(end[at][:, None], fields, axis=1)  # where a field is absent: empty, at the record's end
+        self.hi = self.lo.copy()
+        self.lo[:, 0] = start[at]
+        self.hi[row[rank < fields], rank[rank < fields]] = comma[rank < fields]
+        inner = rank + 1 < fields
+        self.lo[row[inner], rank[inner] + 1] = comma[inner] + 1
         self.quoted = (self.hi > self.lo) & (padded[np.minimum(self.lo, len(data))] == QUOTE)
         self.lo, self.hi, self.rows = self.lo + self.quoted, self.hi - self.quoted, at
 
@@ -182,9 +194,9 @@ def slices(b: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch
 def _splitter(spec: RecordSpec, key_columns: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole, key_columns, INDEX_BYTES)):
-            x = Index(b.column(key_columns), spec.fields)
+            x = Index(b.column(key_columns), spec.fields, spec.least)
             reason = np.full(x.n, None, dtype=object)
-            reason[x.arity != spec.fields] = "columns"
+            reason[~x.fits] = "columns"
             reason[x.misquoted] = "quoting"
             open_ = np.ones(len(x.rows), dtype=bool)
             for c in spec.checks:

@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 from arcweave.functions.ids import node_id
 from arcweave.functions.types import parse_column, type_of
 from arcweave.operators.adjacency import last_wins
+from arcweave.operators.structural_parse import RecordSpec, read_records, split_records
 from arcweave.sources.catalog import Catalog, NodeType, Relation, parse_node_header, parse_relation_header
 
 
+#: Fields of a relation line at least: from, to and ts.
+LEAST_FIELDS = 3
+
+
 def list_files(spark: SparkSession, directory: str, prefix: str) -> list[str]:
     """Files ``<prefix>*.csv`` of a directory, sorted by name."""
     jvm = spark.sparkContext._jvm
@@ -77,32 +82,42 @@ def reject_reason(fields: Column) -> Column:
     """Why a line of a relation can't be used: ``columns``, fewer than three fields; ``ts``, the third is no 32-bit integer.
     Null for a usable line."""
     size = F.coalesce(F.size(fields), F.lit(0))
-    return F.when(size < 3, "columns").when(ts_of(fields).isNull(), "ts")
+    return F.when(size < LEAST_FIELDS, "columns").when(ts_of(fields).isNull(), "ts")
 
 
 def ts_of(fields: Column) -> Column:
     return F.get(fields, F.lit(2)).try_cast("int")
 
 
-def _fields(spark: SparkSession, files: list[str], quoted: bool) -> DataFrame:
-    """(f: the line's fields, line, file, row): row orders the lines inside a file. Lines equal to a header are left out."""
+def _fields(spark: SparkSession, files: list[str], quoted: bool, least: int) -> DataFrame:
+    """(f: the line's fields, line, file, row, reason): row orders the lines inside a file. Headers are left out.
+
+    ``quoted``: fields may be quoted and hold commas and line breaks; the records come from ``structural_parse`` with its
+    reasons. An empty field is null then, if it isn't quoted, and so is a missing one.
+    """
     headers = sorted({header_of(spark, f) for f in files})
-    n = max(len(h.split(",")) for h in headers)
     if quoted:
-        names = [f"_f{i}" for i in range(n)]
-        text = spark.read.csv(files, schema=", ".join(f"{c} string" for c in names), quote='"', escape='"', nullValue="\0", emptyValue="")
-        df = text.select(F.array(*names).alias("f"), F.concat_ws(",", *names).alias("line"), F.col("_metadata.file_path").alias("file"))
-        return df.filter(~F.col("line").isin(headers)).withColumn("row", F.monotonically_increasing_id())
+        n = max(least, *(len(h.split(",")) for h in headers))
+        records = split_records(read_records(spark, files), "line", ["file_name", "record_no"], RecordSpec(n, (), least))
+        f = F.array(*(f"f{i}" for i in range(n))).alias("f")
+        return records.select(f, "line", F.col("file_name").alias("file"), F.col("record_no").alias("row"), "reason")
     text = spark.read.text(files).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    return text.filter(~F.col("line").isin(headers)).select(fields_of(F.col("line")).alias("f"), "line", "file", F.monotonically_increasing_id().alias("row"))
+    text = text.filter(~F.col("line").isin(headers)).select(fields_of(F.col("line")).alias("f"), "line", "file", F.monotonically_increasing_id().alias("row"))
+    return text.withColumn("reason", F.when(F.size("f") < least, "columns"))
 
 
 def read_nodes(spark: SparkSession, files: list[str], node: NodeType, ordinal: int, strict: bool = True, quoted: bool = False) -> DataFrame:
     """(node_id, key, <attributes>), the last row of a key (by file name, then line) winning.
 
     ``strict``: a text that doesn't parse, or a missing attribute other than a ``str``, ends the job; else it is null.
+    The same goes for a record with broken quoting; if not ``strict``, it is left out.
     """
-    raw = _fields(spark, files, quoted)
+    raw = _fields(spark, files, quoted, 1)
+    if quoted and strict:
+        broken = F.raise_error(F.concat(F.lit("broken quoting in "), "file", F.lit(", record "), "row")).cast("boolean")
+        raw = raw.filter(F.when(F.col("reason").isNull(), True).otherwise(broken))
+    elif quoted:
+        raw = raw.filter("reason IS NULL")
     columns = []
     for i, (name, token) in enumerate(node.attributes, start=1):
         text = F.get("f", F.lit(i))
@@ -115,8 +130,8 @@ def read_nodes(spark: SparkSession, files: list[str], node: NodeType, ordinal: i
 
 
 def relation_lines(spark: SparkSession, files: list[str], quoted: bool = False) -> DataFrame:
-    """(f, line, file, row, reason): reason is null for a usable line, see ``reject_reason``."""
-    return _fields(spark, files, quoted).withColumn("reason", reject_reason(F.col("f")))
+    """(f, line, file, row, reason): reason is null for a usable line, see ``reject_reason``; in quoted files also ``quoting``."""
+    return _fields(spark, files, quoted, LEAST_FIELDS).withColumn("reason", F.coalesce("reason", reject_reason(F.col("f"))))
 
 
 def read_relation(spark: SparkSession, files: list[str], rel: Relation, catalog: Catalog, quoted: bool = False) -> DataFrame:

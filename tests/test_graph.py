@@ -243,6 +243,23 @@ def test_store_and_generator(spark, tmp_path, rows):
     assert rows(again.degree()) == rows(g.degree())
 
 
+def test_quoted_files(spark, tmp_path, rows):
+    """Commas and line breaks inside quotes, broken quoting with its reason; fields may be missing or too many."""
+    g = lambda **how: Graph.from_files(spark, str(tmp_path), quoted=True, **how)
+    (tmp_path / "node_u.csv").write_bytes(b'u(u),n:int,s:str\r\n"a,1",1,"x\ny"\r\nb,2\n"a,1",3,"say ""hi"""\n')
+    (tmp_path / "relation_r.csv").write_text('u(u),u(u),ts:int,w:float,s:str\n"a,1",b,1,2.5,"x\ny"\nb,b,2\nb,b,3,,,"more",\nb,"b\nc,d",4\nb,b,x\nb,b\nb,"b"x,5\n')
+    nodes = g().nodes["u"]
+    assert rows(nodes.select("key", "n", "s")) == [("a,1", 3, 'say "hi"'), ("b", 2, None)]
+    a, b, c = (ids.node_id_of(0, k) for k in ("a,1", "b", "b\nc,d"))
+    assert rows(g().relations["r"].drop("rel")) == sorted([(a, b, 1, 2.5, "x\ny"), (b, b, 2, None, None), (b, b, 3, None, None), (b, c, 4, None, None)], key=str)
+    files = delimited.list_files(spark, str(tmp_path), "relation_")
+    assert rows(delimited.rejects(spark, files, quoted=True).select("reason", "line")) == [("columns", "b,b"), ("quoting", 'b,"b"x,5'), ("ts", "b,b,x")]
+    (tmp_path / "node_u.csv").write_text('u(u),n:int,s:str\n"a"b,1,x\nc,2,y\n')
+    assert rows(g(strict=False).nodes["u"].select("key", "n")) == [("c", 2)]
+    with pytest.raises(Exception, match="broken quoting"):
+        g().nodes["u"].collect()
+
+
 def test_tables_in_several_files(spark, tmp_path, rows):
     """Parts of a node type and of a relation; the last row of a key by file name and line wins."""
     at = str(tmp_path)

@@ -184,3 +184,11 @@ def test_other_specs(spark):
     spec = RecordSpec(2, (KeyCheck("k", 0, "z", 1), IntCheck("n", 1, 64)))
     df = spark.createDataFrame([(0, "az,9223372036854775807"), (1, "az,9223372036854775808"), (2, "aaz,1"), (3, "az"), (4, "az,-9223372036854775808"), (5, "az,-9223372036854775809"), (6, "az,9999999999999999999")], "i int, t string")
     assert {r.i: r.reason for r in split_records(df, "t", ["i"], spec).collect()} == {0: None, 1: "n", 2: "k", 3: "columns", 4: None, 5: "n", 6: "n"}
+
+
+def test_fields_that_may_be_absent(spark):
+    spec = RecordSpec(4, (IntCheck("n", 1, 32),), least=2)
+    lines = {"a,1": (None, ["a", "1", None, None]), "a,1,c,d,e,f": (None, ["a", "1", "c", "d"]), 'a,1,"x,y"': (None, ["a", "1", "x,y", None]), "a,1,,": (None, ["a", "1", None, None]), "a": ("columns", [None] * 4), "": ("columns", [None] * 4), "a,b": ("n", [None] * 4), 'a,1,"': ("quoting", [None] * 4), 'a,1,c,d,"e': ("quoting", [None] * 4)}
+    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    got = {r.line: (r.reason, [r.f0, r.f1, r.f2, r.f3]) for r in split_records(df, "t", [], spec).collect()}
+    assert got == lines
