@@ -98,10 +98,11 @@ def expand(seeds: DataFrame, adjacency: DataFrame, degrees: Sequence[int] = (4,
     """Nodes and edges reached from each seed: ((seed_id, node_id), (seed_id, src_id, dst_id, ts)), both distinct.
 
     At each level every node reached so far, not only the newest, gives its first ``degree`` entries. ``seeds`` has
-    node_id. Only nodes that no earlier level asked for are looked up: while these number at most SENT_IDS, the
-    adjacency streams past them and nothing else of it is ranked or shuffled. Once they are more, the first
-    max(degrees) entries of all nodes are ranked and written, for this level and all that follow; the group limit cuts
-    hot nodes before the shuffle.
+    node_id. In a stored adjacency only nodes that no earlier level asked for are looked up: while these number at most
+    SENT_IDS, nothing else of it is ranked or shuffled. Once they are more, the first max(degrees) entries of all nodes
+    are ranked and written, for this level and all that follow; the group limit cuts hot nodes before the shuffle. An
+    adjacency that isn't stored is made anew from its source by every pass (parsing, two hashes an edge), which costs
+    more than ranking; so for more than one level it is ranked at once, in a single pass.
 
     What is looked up is written, and so are the edges of each level, so that no level computes an earlier one again. A
     level adds at most ``degree`` rows a reached node, whatever the nodes' degrees are, and only such as no earlier
@@ -117,7 +118,10 @@ def expand(seeds: DataFrame, adjacency: DataFrame, degrees: Sequence[int] = (4,
     nodes = _distinct(seeds, "node_id").select(F.col("node_id").alias("seed_id"), "node_id", F.lit(0).alias("seen"))
     frontier = _distinct(seeds, "node_id").filter(F.col("node_id").isNotNull())
     ranked = asked = None
-    whole, found = False, adjacency.select(F.col("src_id").alias("seed_id"), "src_id", "dst_id", "ts").filter(F.lit(False))
+    whole = buckets is None and sum(d > 0 for d in degrees) > 1
+    if whole:
+        ranked = ranked_once(adjacency)
+    found = adjacency.select(F.col("src_id").alias("seed_id"), "src_id", "dst_id", "ts").filter(F.lit(False))
     for d in degrees:
         if not d:
             continue
